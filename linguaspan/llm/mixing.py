@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import pick, ship
+from ..runtime import cut, pick, ship
 from .sharding import permute
 
 WORD = r"[^ \t\n\r\f\x0B]+"
@@ -28,35 +28,54 @@ def quotas(sources: DataFrame, seats: int) -> DataFrame:
     return top.groupBy("source").agg(F.count("*").alias("quota"))
 
 
-def plan(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = 4096, shard_blocks: int = 40, seed: int = 17) -> DataFrame:
+def plan(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_tokens: int = 512, shard_blocks: int = 100, seed: int = 17) -> DataFrame:
     """(doc_id, source, n_tokens, block, shard) of the documents that the mixture takes.
 
-    weights: by source; without it all sources weigh the same; a source that isn't named weighs nothing. As many
-    shards are made as the scarcest source can fill, one at least (a source short of blocks then gives what it has). A source without a whole block takes no part,
-    nor do the tokens after a source's last whole block. A null source is the empty name; a null text has no tokens, and
-    such a document belongs to the block at whose place it stands. Documents are ordered by a hash of doc_id, then doc_id, then tokens;
-    repeated rows each count. An empty table gives no row. Other columns are ignored.
+    weights: by source, and a source that isn't named weighs nothing; without it a source weighs its number of tokens to the power of alpha (0: all the
+    same, 1: nothing changes). As many shards are made as the scarcest source can fill, one at least (a source short of blocks then gives what it has).
+    A source without a whole block takes no part, nor do the tokens after a source's last whole block. A null source is the
+    empty name; a null text has no tokens, and such a document belongs to the block at whose place it stands. Documents are ordered
+    by a hash of doc_id, then doc_id, then tokens; repeated rows each count. An empty table gives no row. Other columns are ignored.
     """
+    return _plan(docs, weights, alpha, block_tokens, shard_blocks, seed).drop("_row")
+
+
+def taken(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_tokens: int = 512, shard_blocks: int = 100, seed: int = 17) -> DataFrame:
+    """The rows of docs that plan() takes, with all their columns; rows equal in doc_id, text and source are taken together."""
+    chosen = _plan(docs, weights, alpha, block_tokens, shard_blocks, seed).select("_row").distinct()
+    places = [docs.columns.index(c) for c in ("doc_id", "text", "source")]
+    flat = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])
+    kept = flat.withColumn("_row", F.xxhash64(*[F.col(f"_in{i}") for i in places])).join(chosen, "_row", "left_semi").drop("_row")
+    return kept.toDF(*docs.columns)
+
+
+def _plan(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block_tokens: int, shard_blocks: int, seed: int) -> DataFrame:
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "source").select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.xxhash64("doc_id", "text", "source").alias("_row"),
     )
-    rows = rows.withColumn("slice", F.substring("key", 1, 3))  # 4096 runs of the order, so that no source is one task
+    rows = cut(rows.withColumn("slice", F.substring("key", 1, 3)))  # few bytes a document; 4096 runs of the order, so that no source is one task
     slices = rows.groupBy("source", "slice").agg(F.sum("n_tokens").alias("tokens"))
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("source", "slice", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    totals = rows.groupBy("source").agg(F.floor(F.sum("n_tokens") / block_tokens).cast("bigint").alias("n_blocks"))
-    weight: Column = F.lit(1.0) if weights is None else F.coalesce(F.create_map(*[F.lit(x) for p in weights.items() for x in (p[0], float(p[1]))])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
+    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).withColumn("n_blocks", F.floor(F.col("tokens") / block_tokens).cast("bigint"))
+    if weights is None:
+        weight: Column = F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
+    elif weights:
+        weight = F.coalesce(F.create_map(*[F.lit(x) for p in weights.items() for x in (p[0], float(p[1]))])[F.col("source")], F.lit(0.0))
+    else:
+        weight = F.lit(0.0)
     parts = totals.where("n_blocks > 0").withColumn("weight", weight)
     quota = parts.join(quotas(parts.select("source", "weight"), shard_blocks), "source").select("source", "n_blocks", "quota")
     shards = quota.agg(F.greatest(F.lit(1).cast("bigint"), F.min(F.floor(F.col("n_blocks") / F.col("quota")))).alias("n_shards"))
     quota = quota.crossJoin(F.broadcast(shards))  # one row
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(slices, ["source", "slice"])
+    inner = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(slices, ["source", "slice"])
     placed = placed.withColumn("block", F.floor((F.col("base") + F.col("inside")) / block_tokens)).join(quota, "source").where("block < n_blocks")
 
     @F.pandas_udf("bigint")
@@ -69,4 +88,4 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
         return pd.Series(out)
 
     done = placed.withColumn("shard", F.floor(seat("block", "n_blocks") / F.col("quota"))).where("shard < n_shards")
-    return done.select("doc_id", "source", "n_tokens", "block", "shard")
+    return done.select("doc_id", "source", "n_tokens", "block", "shard", "_row")

@@ -13,6 +13,7 @@ scores are exact in the library's 32-bit floats. Decoding gives back the exact t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,7 @@ def load_model(path: str = MODEL) -> bytes:
     """The model file with its pieces and scores as they are, set to best-score segmentation and to leave white space to us.
 
     Pieces of score under -1e8 (runs of blanks) can't be part of a best segmentation; they are marked unused, so that
-    the score of unknown characters stays near the others.
+    the score of unknown characters stays near the others. The single blank, which is needed, gets the lowest score of the rest.
     """
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -42,9 +43,13 @@ def load_model(path: str = MODEL) -> bytes:
         m = pb.ModelProto.FromString(f.read())
     m.trainer_spec.model_type = 1
     m.normalizer_spec.add_dummy_prefix = False
+    lowest = min(p.score for p in m.pieces if p.type == 1 and p.score > -1e8)
     for p in m.pieces:
         if p.type == 1 and p.score < -1e8:
-            p.type = 5
+            if p.piece == SPACE:
+                p.score = lowest
+            else:
+                p.type = 5
     return m.SerializeToString()
 
 
@@ -199,13 +204,15 @@ def best_path(jobs: list[tuple], scores: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
-def _coder(shared) -> Coder:
-    if shared.id not in _coders:
-        _coders[shared.id] = Coder(shared.value)
-    return _coders[shared.id]
+def _coder(shared: tuple) -> Coder:
+    """The worker's coder of a broadcast model, made once for each model."""
+    name, model = shared
+    if name not in _coders:
+        _coders[name] = Coder(model.value)
+    return _coders[name]
 
 
 def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -221,7 +228,8 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(load_model(model_path))  # one vocabulary file: its size is fixed
+    model = load_model(model_path)
+    shared = (md5(model).hexdigest(), spark.sparkContext.broadcast(model))  # one vocabulary file: its size is fixed
     rows = pick(docs, "doc_id", "text")
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_tokens bigint, ids array<int>, exact boolean")])
 
@@ -240,12 +248,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
                 yield pa.record_batch([part.column("doc_id"), counts, ids, pa.array(exact, pa.bool_())], names=schema.names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each segment with as much before and after it as a piece can reach."""
+        """Each segment, with as much before and after it as a piece can reach."""
         reach = _coder(shared).longest
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text, key in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("key").to_pylist()):
                 ready, stand = _coder(shared).prepare(text)
-                key = int(pd.util.hash_array(np.array([f"{doc_id}\0{text}"], object))[0].astype(np.int64))
                 for k, lo in enumerate(range(0, len(ready), segment_chars)):
                     hi = min(len(ready), lo + segment_chars)
                     a = max(0, lo - reach)
@@ -287,13 +294,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
     rows_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[rows.schema["doc_id"].dataType.simpleString()]
     giant = F.coalesce(F.length("text"), F.lit(0)) > segment_chars
     small = rows.where(~giant).mapInArrow(whole, schema)
+    large = rows.where(giant).withColumn("key", F.xxhash64("doc_id", "text"))
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, k int, stand string"
-    segments = rows.where(giant).mapInArrow(split, kind + ", lo int, hi int, last boolean, part string").repartition("key", "k")
+    segments = large.mapInArrow(split, kind + ", lo int, hi int, last boolean, part string").repartition("key", "k")
     solved = segments.mapInArrow(matrices, kind + ", a int, b int, score double, ids array<int>")
-    count = rows.where(giant).groupBy("doc_id", "text").count() if False else None  # noqa: F841
     done = solved.groupBy("key").applyInPandas(join, "key bigint, n_tokens bigint, ids array<int>, text_again string")
-    return small.unionByName(_attach(rows.where(giant), done))
-
-
-def _attach(rows: DataFrame, done: DataFrame) -> DataFrame:
-    raise NotImplementedError
+    return small.unionByName(large.join(done, "key").select("doc_id", "n_tokens", "ids", (F.col("text_again") == F.col("text")).alias("exact")))

@@ -88,18 +88,18 @@ def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n tokens, also of those that span two texts: mask these by inside()."""
     if len(tokens) < n:
         return np.zeros(0, np.uint64)
-    total, power, done, block, size = None, U(1), 0, tokens, 1
-    step = GRAM
+    total, power, done, block, size = None, 1, 0, tokens, 1
+    step = int(GRAM)
     left = n
     while left:
         if left & 1:
             part = block[done : done + len(tokens) - n + 1]
-            total = part.copy() if total is None else total + part * power
-            power, done = power * step, done + size
+            total = part.copy() if total is None else total + part * U(power)
+            power, done = power * step % 2**64, done + size
         left >>= 1
         if left:
-            block = block[: len(block) - size] + block[size:] * step
-            step, size = step * step, size * 2
+            block = block[: len(block) - size] + block[size:] * U(step)
+            step, size = step * step % 2**64, size * 2
     return mix(total)
 
 
