@@ -1,4 +1,502 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and the same in DuckDB's SQL where it can be said."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..functions import text as X
+from ..operators import align, augment, clean, embed, evaluate, match, render, stats
+from ..runtime import ship
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+WORDS = "[x for x in string_split_regex({}, '[ \\t\\r\\n]+') if x <> '']"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(line_id, doc_id, lang, source, text, words): the lines of all documents that have words."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return rows.select((F.col("doc_id") * 1000000 + F.col("n")).alias("line_id"), "doc_id", "lang", "source", "text", X.tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text", X.tokens(F.col("text")).alias("words"))
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", "text", X.tokens(F.col("text")).alias("words"))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """(pair_id, src, tgt): a user's turn and the assistant's next."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
+    reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
+    return user.join(reply, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "src", "tgt")
+
+
+def token_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = pairs(spark, sf).select("pair_id", X.tokens(F.col("src")).alias("src"), X.tokens(F.col("tgt")).alias("tgt"))
+    ship(spark)
+    return p.withColumn("links", K.arrow(K.equal_links, "array<struct<s:int,t:int>>")("src", "tgt"))
+
+
+def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("tgt").alias("hyp"), F.array("src").alias("refs"))
+
+
+def part_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring part names (by key) as token pairs."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), X.tokens(F.col("p_name")).alias("src"))
+    return p.join(p.select((F.col("pair_id") - 1).alias("pair_id"), F.col("src").alias("tgt")), "pair_id")
+
+
+def neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, rank, score, m_src, m_tgt, db_id): each pair's best other pairs by n-gram counts of the source side."""
+    p = token_pairs(spark, sf)
+    found = match.fuzzy_counts(p.select(F.col("pair_id").alias("tst_id"), F.col("src").alias("words")), p.select(F.col("pair_id").alias("trn_id"), F.col("src").alias("words")), 2, 3).where("tst_id <> trn_id")
+    best = match.top(found, "score", 3)
+    return best.join(p.select(F.col("pair_id").alias("trn_id"), F.col("src").alias("m_src"), F.col("tgt").alias("m_tgt")), "trn_id").select(F.col("tst_id").alias("query_id"), "rank", (F.col("score") / (F.col("score") + 10.0)).alias("score"), "m_src", "m_tgt", F.col("trn_id").alias("db_id"))
+
+
+def match_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(tst_id, tst, src, tgt, links, score, ref): each pair with its best match."""
+    p = token_pairs(spark, sf)
+    best = neighbours(spark, sf).where("rank = 1").select(F.col("query_id").alias("tst_id"), F.col("db_id").alias("trn_id"), "score")
+    found = augment.attach(best, p.select(F.col("pair_id").alias("trn_id"), "src", "tgt", "links"))
+    return p.select(F.col("pair_id").alias("tst_id"), F.col("src").alias("tst"), F.col("tgt").alias("ref")).join(found, "tst_id")
+
+
+LINES = f"""lines as (select * from (select doc_id * 1000000 + unnest(range(len(ls))) as line_id, doc_id, lang, source, unnest(ls) as text, unnest([{WORDS.format('l')} for l in ls]) as words
+  from (select doc_id, lang, source, string_split(text, chr(10)) as ls from documents where text is not null)) where len(words) > 0)"""
+DOCS = f"docs as (select doc_id, lang, source, text, {WORDS.format('text')} as words from documents)"
+BENCH = f"bench as (select item_id, text, {WORDS.format('text')} as words from benchmark)"
+PAIRS = """turns as (select conv_id, turn, role, min(text) as text from conversations group by all),
+pairs as (select u.conv_id * 1000 + u.turn as pair_id, u.text as src, a.text as tgt from turns u join turns a on u.conv_id = a.conv_id and a.turn - 1 = u.turn where u.role = 'user' and a.role = 'assistant'),
+tok as (select pair_id, {0} as s, {1} as t from pairs)""".format(WORDS.format("src"), WORDS.format("tgt"))
+GRAM = "unnest([array_to_string(words[p : p + {0}], ' ') for p in range(1, greatest(1, len(words) - {0} + 1))])"
+GRAMS = "unnest(flatten([[array_to_string(words[p : p + n - 1], ' ') for p in range(1, greatest(1, len(words) - n + 2))] for n in [{}]]))"
+
+
+@query(f"""with {DOCS}, w as (select lang, unnest(words) as word from docs), v as (select lang, count(distinct word) as vocabulary from w group by lang)
+select d.lang, count(*) as n_lines, sum(len(words))::bigint as n_words, round(avg(len(words)), 6) as mean_length, min(len(words)) as min_length, max(len(words)) as max_length, any_value(coalesce(vocabulary, 0)) as vocabulary from docs d left join v on d.lang = v.lang group by d.lang""")
+def corpus_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.corpus_stats(documents(spark, sf), "lang")
+
+
+@query(f"with {DOCS} select word, count(*) as freq from (select unnest(words) as word from docs) group by word order by freq desc, word limit 100")
+def word_freq_top(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.word_freq(documents(spark, sf)).orderBy(F.col("freq").desc(), "word").limit(100)
+
+
+@query(f"""with {LINES}, {BENCH}, known as (select distinct unnest(words) as word from lines), t as (select word, count(*) as freq from (select unnest(words) as word from bench) group by word),
+o as (select count(*) as oov_types, coalesce(sum(freq), 0)::bigint as oov_tokens from t anti join known using (word)),
+s as (select count(*) as seen_sentences from bench where text in (select text from lines)) select * from o, s""")
+def oov_report(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.oov(lines(spark, sf), passages(spark, sf))
+
+
+IDF = f"{LINES}, n as (select count(*) as n from lines), df as (select word, count(*) as df from (select unnest(list_distinct(words)) as word from lines) group by word), idf as (select word, df, round(ln(n / (1 + df)), 6) as idf from df, n)"
+
+
+@query(f"with {IDF} select * from idf")
+def sentence_idf(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.idf(lines(spark, sf))
+
+
+@query(f"""with {IDF}, {BENCH}, c as (select item_id, word, count(*) as tf from (select item_id, unnest(words) as word from bench) group by all)
+select item_id, word, tf, round(tf * coalesce(idf, 0.0), 6) as tfidf from c left join idf using (word)""")
+def token_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.token_tfidf(passages(spark, sf), stats.idf(lines(spark, sf)), "item_id")
+
+
+DOMAIN = f"""{DOCS}, f as (select source, word, count(*) as freq from (select source, unnest(words) as word from docs) group by all), tot as (select source, sum(freq) as total from f group by source),
+d as (select count(*) as d from tot), n as (select word, count(*) as n from f group by word), v as (select source, word, freq / total * ln(d / n) as v from f join tot using (source) join n using (word), d),
+nrm as (select source, sqrt(sum(v * v)) as norm from v group by source), model as (select source, word, round(case when norm > 0 then v / norm else 0.0 end, 6) as tfidf from v join nrm using (source))"""
+
+
+@query(f"with {DOMAIN} select * from model")
+def domain_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.domain_tfidf(documents(spark, sf), "source")
+
+
+@query(f"""with {DOMAIN}, {BENCH}, c as (select item_id, word, count(*) as tf from (select item_id, unnest(words) as word from bench) where word in (select word from model) group by all),
+nb as (select item_id, sqrt(sum(tf * tf)) as norm from c group by item_id), dots as (select item_id, source, sum(tf * tfidf) as dot from c join model using (word) group by all),
+e as (select item_id, source from bench, (select distinct source from model)), s as (select item_id, source, round(coalesce(dot / nb.norm, 0.0), 4) as cosine from e left join dots using (item_id, source) left join nb using (item_id))
+select item_id, source, cosine, row_number() over (partition by item_id order by cosine desc, source) as rank from s""")
+def domain_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.domain_similarity(stats.domain_tfidf(documents(spark, sf), "source"), passages(spark, sf), "source", "item_id")
+
+
+CLEAN = f"""{PAIRS}, r0 as (select *, case when s = t then 'equals' when least(len(s), len(t)) < 1 then 'min' when greatest(len(s), len(t)) > 99 then 'max' when coalesce(list_max([length(x) for x in list_concat(s, t)]), 0) > 12 then 'maxw'
+  when least(len(s), len(t)) > 0 and greatest(len(s), len(t)) / least(len(s), len(t)) > 6 then 'fert' end as r from tok join pairs using (pair_id)),
+r1 as (select *, row_number() over (partition by r, src, tgt order by pair_id) as rn from r0), reasons as (select pair_id, src, tgt, case when r is null and rn > 1 then 'uniq' else r end as reason from r1)"""
+
+
+@query(f"with {CLEAN} select pair_id, src, tgt from reasons where reason is null")
+def clean_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.clean(pairs(spark, sf), longest_word=12)
+
+
+@query(f"with {CLEAN} select coalesce(reason, 'kept') as reason, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from reasons group by 1")
+def clean_report(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.report(pairs(spark, sf), longest_word=12)
+
+
+@query(f"with {PAIRS}, o as (select pair_id, row_number() over (order by pair_id) as n from pairs) select pair_id, case when n <= 20 then 'dev' when n <= 50 then 'tst' else 'trn' end as set_name from o")
+def split_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.split_sets(pairs(spark, sf).select("pair_id"), [("dev", 20), ("tst", 30)])
+
+
+@query("with m as (select doc_id, case when max(quality) > 0 then 'good' else 'poor' end as set_name from labels group by doc_id) select doc_id, coalesce(set_name, 'trn') as set_name from documents left join m using (doc_id)")
+def split_by_map(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "labels").groupBy("doc_id").agg(F.when(F.max("quality") > 0, "good").otherwise("poor").alias("set_name"))
+    return clean.split_by_map(table(spark, sf, "documents").select("doc_id"), names, "doc_id")
+
+
+@query("""with f as (select row_number() over (order by source) as position, source as set_name, count(*) as n from documents group by source), e as (select *, sum(n) over (order by position) as hi from f)
+select doc_id, set_name from documents left join e on doc_id >= hi - n and doc_id < hi""")
+def split_by_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    files = docs.groupBy(F.col("source").alias("set_name")).agg(F.count("*").alias("n")).withColumn("position", F.col("set_name"))
+    return clean.split_by_offsets(docs.select("doc_id"), files, "doc_id").select("doc_id", "set_name")
+
+
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.col("doc_id").alias("trn_id"), "words")
+
+
+def _test(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select(F.col("item_id").alias("tst_id"), "words")
+
+
+@query(f"""with {DOCS}, {BENCH}, a as (select distinct item_id, {GRAM.format(4)} as g from bench), b as (select distinct doc_id, {GRAM.format(4)} as g from docs)
+select distinct item_id as tst_id, doc_id as trn_id from a join b using (g)""")
+def ngram_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return match.ngram_candidates(_test(spark, sf), _train(spark, sf), 5)
+
+
+@query()
+def ngram_overlap_best(spark: SparkSession, sf: str) -> DataFrame:
+    return match.best_overlap(_test(spark, sf), _train(spark, sf), 5)
+
+
+FUZZY = f"""{DOCS}, {BENCH}, a as (select distinct item_id, {GRAMS.format('2, 3, 4')} as g from bench), b as (select doc_id, g, count(*) as n from (select doc_id, {GRAMS.format('2, 3, 4')} as g from docs) group by all)"""
+
+
+@query(f"""with {FUZZY}, s as (select item_id as tst_id, doc_id as trn_id, sum(n)::bigint as score from a join b using (g) group by all)
+select * from (select *, row_number() over (partition by tst_id order by score desc, trn_id) as rank from s) where rank <= 10""")
+def fuzzy_topn_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return match.top(match.fuzzy_counts(_test(spark, sf), _train(spark, sf)), "score", 10)
+
+
+@query(f"with {FUZZY} select doc_id as trn_id, sum(n)::bigint as score from b where g in (select g from a) group by doc_id")
+def fuzzy_testset(spark: SparkSession, sf: str) -> DataFrame:
+    return match.fuzzy_counts(_test(spark, sf), _train(spark, sf), whole_set=True)
+
+
+@query()
+def fuzzy_ratio_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    lines_ = lines(spark, sf).select(F.col("line_id").alias("trn_id"), "words")
+    return match.fuzzy_matches(_test(spark, sf), lines_, 3, by_ratio=True)
+
+
+PARTS = f"p as (select p_partkey as pair_id, {WORDS.format('p_name')} as w from part), pp as (select a.pair_id, a.w as s, b.w as t from p a join p b on b.pair_id = a.pair_id + 1)"
+
+
+@query(f"with {PARTS} select pair_id, levenshtein(array_to_string([chr((96 + list_position(list_distinct(list_concat(s, t)), x))::int) for x in s], ''), array_to_string([chr((96 + list_position(list_distinct(list_concat(s, t)), x))::int) for x in t], '')) as distance from pp")
+def word_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
+    return part_pairs(spark, sf).select("pair_id", X.word_distance(F.col("src"), F.col("tgt")).cast("bigint").alias("distance"))
+
+
+KNN = """e as (select vec_id, embedding::double[] as v, sqrt(list_sum([x * x for x in embedding::double[]])) as n from embeddings),
+s as (select a.vec_id as query_id, b.vec_id as db_id, round(list_inner_product(a.v, b.v) / (a.n * b.n), 6) as score from e a join e b on a.vec_id <> b.vec_id)"""
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _others(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return embed.nearest(_vectors(spark, sf), k)
+
+
+@query(f"with {KNN} select * from (select query_id as id, db_id as other, score, row_number() over (partition by query_id order by score desc, db_id) as rank from s) where rank <= 5")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return _others(spark, sf, 5)
+
+
+@query(f"with {KNN}, r as (select *, row_number() over (partition by query_id order by score desc, db_id) as rank from s where score between 0 and 0.95) select query_id, string_agg(printf('%.6f', score) || chr(9) || db_id, chr(9) order by rank) as line from r where rank <= 3 group by query_id")
+def match_list_text(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    return match.match_list(match.exact_knn(v, v, 3, 0.0, 0.95))
+
+
+@query(f"""with e as (select vec_id, embedding::double[] as v from embeddings), s as (select a.vec_id as id, b.vec_id as other, round(list_distance(a.v, b.v), 6) as score from e a join e b on a.vec_id <> b.vec_id)
+select * from (select *, row_number() over (partition by id order by score, other) as rank from s) where rank <= 5""")
+def nearest_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.nearest(_vectors(spark, sf), 5, "pairwise")
+
+
+LINKS = f"{PAIRS}, si as (select pair_id, unnest(s) as w, unnest(range(len(s))) as i from tok), ti as (select pair_id, unnest(t) as w, unnest(range(len(t))) as j from tok), ln as (select si.pair_id, i, j, si.w as sw, ti.w as tw from si join ti on si.pair_id = ti.pair_id and lower(si.w) = lower(ti.w))"
+
+
+@query(f"""with {LINKS}, c as (select sw as s, tw as t from ln union all select 'NULL', w from ti anti join ln using (pair_id, j) union all select w, 'NULL' from si anti join ln using (pair_id, i)),
+n as (select s, t, count(*) as n from c group by all) select s, t, n, round(n / sum(n) over (partition by t), 7) as s2t, round(n / sum(n) over (partition by s), 7) as t2s from n""")
+def lexical_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return align.lexical(token_pairs(spark, sf))
+
+
+def _related(how: str) -> str:
+    test = "max(odd)" if how == "any" else "min(odd)"
+    return f"""with {LINKS}, m as (select pair_id, j, {test} as r from (select pair_id, j, case when length(sw) % 2 = 1 then 1 else 0 end as odd from ln) group by all)
+select ti.pair_id, ti.j::int as position, coalesce(r, 0) = 1 as related from ti left join m using (pair_id, j)"""
+
+
+def _masks(spark: SparkSession, sf: str, f) -> DataFrame:
+    p = token_pairs(spark, sf).withColumn("odd", F.transform("src", lambda w: F.length(w) % 2 == 1))
+    return p.select("pair_id", F.posexplode(f(F.col("tgt"), F.col("links"), F.col("odd"))).alias("position", "related"))
+
+
+@query(_related("any"))
+def related_targets_any(spark: SparkSession, sf: str) -> DataFrame:
+    return _masks(spark, sf, X.any_linked)
+
+
+@query(_related("all"))
+def related_targets_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _masks(spark, sf, X.all_linked)
+
+
+@query()
+def phrase_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return align.phrase_pairs(token_pairs(spark, sf), 4)
+
+
+@query()
+def phrase_table(spark: SparkSession, sf: str) -> DataFrame:
+    return align.phrase_table(part_pairs(spark, sf).withColumn("links", K.arrow(K.equal_links, "array<struct<s:int,t:int>>")("src", "tgt")), 3)
+
+
+@query()
+def unfold_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return align.unfolded(token_pairs(spark, sf))
+
+
+@query()
+def unfold_groups_consecutive(spark: SparkSession, sf: str) -> DataFrame:
+    return align.unfolded(token_pairs(spark, sf), consecutive=True)
+
+
+@query()
+def lcs_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return align.lcs_pairs(part_pairs(spark, sf))
+
+
+@query()
+def mask_unrelated(spark: SparkSession, sf: str) -> DataFrame:
+    return align.masked(token_pairs(spark, sf))
+
+
+def _scores(make: str, orders: str, hyp: str, ref: str) -> str:
+    g = lambda c: f"unnest(flatten([[{{'n': n, 'g': {make.format(c)}}} for p in range(1, greatest(1, len({c}) - n + 2))] for n in [{orders}]]))"
+    return f"""x as (select pair_id, {hyp} as h, {ref} as r from tok join pairs using (pair_id)), hg as (select pair_id, u.n as n, u.g as g, count(*) as c from (select pair_id, {g('h')} as u from x) group by all),
+rg as (select pair_id, u.n as n, u.g as g, count(*) as c from (select pair_id, {g('r')} as u from x) group by all), k as (select n, sum(least(hg.c, coalesce(rg.c, 0))) as correct, sum(hg.c) as th from hg left join rg using (pair_id, n, g) group by n), tr as (select n, sum(c) as tr from rg group by n)"""
+
+
+@query(f"""with {PAIRS}, {_scores("array_to_string({0}[p : p + n - 1], ' ')", '1, 2, 3, 4', 't', 's')}, l as (select sum(len(h)) as hl, sum(len(r)) as rl from x),
+q as (select i as n, coalesce(correct / th, 0.0) as p from (select unnest([1, 2, 3, 4]) as i) left join k on k.n = i), b as (select hl, rl, case when hl >= rl then 1.0 else exp(1 - rl / hl) end as bp from l)
+select round(case when rl > 0 then 100 * bp * exp((select sum(case when p > 0 then ln(p) else -9999999999.0 end) from q) / 4) else 0.0 end, 4) as bleu, {', '.join(f"(select round(100 * p, 4) from q where n = {i}) as p{i}" for i in range(1, 5))},
+round(bp, 4) as brevity, round(hl / rl, 4) as ratio, hl::bigint as hyp_length, rl::bigint as ref_length from b""")
+def bleu_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bleu(scored_rows(spark, sf))
+
+
+@query(f"""with {PAIRS}, {_scores("{0}[p : p + n - 1]", '1, 2, 3, 4, 5, 6', "regexp_replace(tgt, '[ \\t\\r\\n]+', '', 'g')", "regexp_replace(src, '[ \\t\\r\\n]+', '', 'g')")},
+z as (select sum(coalesce(correct / th, 0)) / 6 as p, sum(coalesce(correct / tr, 0)) / 6 as r from k full join tr using (n))
+select round(case when p + r > 0 then 100 * 10 * p * r / (9 * p + r) else 0.0 end, 4) as chrf, round(100 * p, 4) as precision, round(100 * r, 4) as recall from z""")
+def chrf_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.chrf(scored_rows(spark, sf))
+
+
+@query()
+def ribes_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.ribes(scored_rows(spark, sf)).agg(F.count("*").alias("n"), F.round(F.avg("ribes"), 6).alias("ribes"))
+
+
+@query()
+def augment_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.tagged(match_rows(spark, sf), True, True, ratio=0.1, least=0.2)
+
+
+@query()
+def inject_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.injected(match_rows(spark, sf))
+
+
+@query()
+def repair_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.repaired(match_rows(spark, sf), True)
+
+
+@query()
+def ngram_repair_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.repaired(match_rows(spark, sf), by_run=True, least_run=2)
+
+
+@query()
+def ngram_inject_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.run_injected(match_rows(spark, sf), 2)
+
+
+@query(f"with {PAIRS} select pair_id as tst_id, array_to_string(s, ' ') || ' @@@ ' || array_to_string(t, ' ') as f1, array_to_string(list_concat([ 'S' for x in s], ['E'], ['E' for x in t]), ' ') as f2 from tok")
+def nearest_tags(spark: SparkSession, sf: str) -> DataFrame:
+    p = token_pairs(spark, sf)
+    return augment.with_nearest(p.select(F.col("pair_id").alias("tst_id"), F.col("src").alias("tst")), p.select(F.col("pair_id").alias("tst_id"), F.lit(0).alias("ord"), "tgt"))
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    return token_pairs(spark, sf).select(F.col("pair_id").alias("query_id"), "src", "tgt")
+
+
+@query()
+def prime_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.primed(_queries(spark, sf), neighbours(spark, sf), 2, 400, 200, 0.1, ranges=True)
+
+
+@query()
+def augment_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.primed(_queries(spark, sf), neighbours(spark, sf), 2, 400, 200, 0.1, prime=False, perfect=0.1)
+
+
+def _texts(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.array_join(n, " ") for n in names})
+
+
+@query()
+def contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.context_sets(_queries(spark, sf), _texts(neighbours(spark, sf), "m_src", "m_tgt"), 2, 0.1)
+
+
+FLAT = f"""{PAIRS}, g1 as (select distinct pair_id, {GRAMS.format('2, 3').replace('words', 's')} as g from tok), g2 as (select pair_id, g, count(*) as n from (select pair_id, {GRAMS.format('2, 3').replace('words', 's')} as g from tok) group by all),
+sc as (select a.pair_id as q, b.pair_id as d, sum(n)::bigint as score from g1 a join g2 b using (g) where a.pair_id <> b.pair_id group by all), rk as (select *, row_number() over (partition by q order by score desc, d) as rank from sc),
+m as (select q, d, rank, score / (score + 10.0) as score from rk where rank <= 3), st as (select *, min(case when score < 0.5 then rank end) over (partition by q) as stop from m)"""
+
+
+@query(f"""with {FLAT}, j as (select pair_id, array_to_string(s, ' ') as src, array_to_string(t, ' ') as tgt from tok)
+select pair_id as query_id, 0 as kind, 0 as rank, 0.0::double as score, src, tgt, '' as m_src, '' as m_tgt from j
+union all select pair_id, 1, 0, 1.0, src, tgt, src, tgt from j
+union all select q, 2, rank, round(score, 6), a.src, a.tgt, b.src, b.tgt from st join j a on a.pair_id = q join j b on b.pair_id = d where stop is null or rank < stop""")
+def flat_matches(spark: SparkSession, sf: str) -> DataFrame:
+    found = augment.flat_matches(_texts(_queries(spark, sf), "src", "tgt"), _texts(neighbours(spark, sf), "m_src", "m_tgt"), 3, 0.5, perfect=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return augment.gap_filled(token_pairs(spark, sf))
+
+
+@query()
+def gap_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.histogram(augment.gap_filled(token_pairs(spark, sf)), "n_gaps")
+
+
+@query(f"with {DOCS}, c as (select len(words) as n_words, count(*) as n from docs where words is not null group by 1) select n_words, n, round(100 * n / sum(n) over (), 4) as percent, sum(n) over (order by n_words)::bigint as running from c")
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.histogram(documents(spark, sf).where("words is not null").select(F.size("words").cast("bigint").alias("n_words")), "n_words")
+
+
+@query(f"""with {DOCS} select doc_id, array_to_string([case when length(w) > 2 then left(w, 2) else '-' end for w in words], ' ') as feats from docs where words is not null""")
+def feature_field(spark: SparkSession, sf: str) -> DataFrame:
+    factored = F.transform("words", lambda w: F.concat_ws(X.FIELD, w, F.when(F.length(w) > 2, F.left(w, F.lit(2))).otherwise("")))
+    return documents(spark, sf).where("words is not null").select("doc_id", F.array_join(X.feature(factored, 1), " ").alias("feats"))
+
+
+@query(f"""with {PAIRS} select pair_id as id, array_to_string(flatten([case when length(w) > 3 then [left(w, 1), left(w, 1)] else [left(w, 1)] end for w in s]), ' ') as feats from tok where len(s) > 0""")
+def joiner_features(spark: SparkSession, sf: str) -> DataFrame:
+    p = token_pairs(spark, sf).where("size(src) > 0")
+    cut = F.flatten(F.transform("src", lambda w: F.when(F.length(w) > 3, F.array(F.left(w, F.lit(3)), F.concat(F.lit(X.JOINER), F.substr(w, F.lit(4))))).otherwise(F.array(w))))
+    return augment.joiner_features(p.select(F.col("pair_id").alias("id"), F.transform("src", lambda w: F.left(w, F.lit(1))).alias("tags"), cut.alias("pieces")))
+
+
+@query(f"""with {DOCS}, mk as (select [case when regexp_full_match(w, '[0-9]*\\.?[0-9]*') and regexp_matches(w, '[0-9]') then '𝚇' when regexp_full_match(w, '[!-/:-@\\[-`{{-~]*') then '𝚇' else w end for w in words] as words from docs where words is not null),
+g as (select {GRAM.format(2)} as gram from mk) select gram, count(*) as n from g where len([x for x in string_split(gram, ' ') if x = '𝚇']) <= 1 group by gram having count(*) > 3""")
+def masked_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    g = documents(spark, sf).select(F.explode(X.ngrams(X.masked(F.col("words")), 3)).alias("gram"))
+    return g.where(X.few_masks(F.split("gram", " "), 1)).groupBy("gram").agg(F.count("*").alias("n")).where("n > 3")
+
+
+VOCAB = f"{DOCS}, f as (select word, count(*) as freq from (select unnest(words) as word from docs) group by word), vocab as (select 0::bigint as idx, '<unk>' as word, 0::bigint as freq union all select row_number() over (order by freq desc, word), word, freq from f where freq >= 5)"
+
+
+@query(f"with {VOCAB} select * from vocab")
+def vocab_build(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.vocabulary(documents(spark, sf))
+
+
+@query(f"with {VOCAB}, {BENCH}, e as (select coalesce(idx, 0) as idx from (select unnest(words) as word from bench) left join vocab using (word)) select count(*) as n_tokens, round(avg(case when idx = 0 then 100.0::double else 0 end), 6) as oov_percent from e")
+def vocab_oov_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.oov_rate(stats.encode(passages(spark, sf), stats.vocabulary(documents(spark, sf)), "item_id"))
+
+
+@query(f"with {VOCAB}, t as (select sum(freq) as total from f) select word, freq, round(least(1.0, 0.001 / (freq / total) * (1 + sqrt(1000 * (freq / total)))), 6) as keep from f, t")
+def subsample_probs(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.keep_probability(stats.word_freq(documents(spark, sf)))
+
+
+@query(f"with {BENCH}, p as (select item_id, words, unnest(range(len(words))) as pos from bench) select item_id, pos::int as pos, words[pos + 1] as centre, array_to_string(list_concat(words[greatest(pos - 4, 1) : pos], words[pos + 2 : pos + 6]), ' ') as context from p")
+def context_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.context_windows(passages(spark, sf), "item_id").withColumn("context", F.array_join("context", " "))
+
+
+@query("select label, d, round(round(avg(v::double), 6), 4) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
+def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    pooled = embed.pooled(e.select("label", F.col("vec_id").alias("word")), e.select(F.col("vec_id").alias("word"), "embedding"), "label")
+    return pooled.select("label", F.posexplode("embedding").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), (F.round("v", 4) + 0.0).alias("v").alias("v"))
+
+
+@query()
+def acronyms(spark: SparkSession, sf: str) -> DataFrame:
+    return align.acronyms(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.tokens(F.col("p_name")).alias("words")), 1, 1)
+
+
+@query()
+def negative_samples(spark: SparkSession, sf: str) -> DataFrame:
+    vocab = stats.vocabulary(documents(spark, sf))
+    ids = stats.encode(passages(spark, sf).withColumnRenamed("item_id", "id"), vocab, "id")
+    rows = ids.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"].cast("int")).alias("words"))
+    return embed.negatives(embed.context_windows(rows, "id"), 1000, 5)
+
+
+@query()
+def subword_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.learn_merges(stats.word_freq(passages(spark, sf)), 20)
+
+
+@query()
+def link_html(spark: SparkSession, sf: str) -> DataFrame:
+    p = token_pairs(spark, sf)
+    return render.link_lines(p).join(render.link_matrix(p).withColumnRenamed("html", "matrix"), "pair_id")
+
+
+@query()
+def diff_html(spark: SparkSession, sf: str) -> DataFrame:
+    return render.differences(pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("tgt").alias("hyp"), F.col("src").alias("ref")))
