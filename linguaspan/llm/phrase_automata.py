@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut, pick, ship
 from .repeats import anchored, at_hits, buckets_of, by_bucket, islands, read_texts, reach, recurring, unpack
-from .textops import anchors, gram_hashes, portions, utf8, word_hashes, words
+from .textops import anchors, gram_hashes, plain, portions, utf8, word_hashes, words
 
 U = np.uint64
 
@@ -246,8 +246,9 @@ def without_repeats(docs: DataFrame, min_words: int = 50, **limits: int) -> Data
     Columns stay as they are (n_chars, if there is one, follows the text). Rows without a doc_id or text stay as they are.
     """
     ship(docs.sparkSession)
-    names, schema = docs.columns, docs.schema
-    rows = _usable(docs)
+    whole = plain(docs, "doc_id", "text", "n_chars")
+    names, schema = whole.columns, whole.schema
+    rows = _usable(whole)
 
     def handle(table: pa.Table, machine: Automaton) -> pa.Table:
         ids = np.asarray(table.column("doc_id"))
@@ -270,8 +271,8 @@ def without_repeats(docs: DataFrame, min_words: int = 50, **limits: int) -> Data
         return table.filter(pa.array(keep)).select(names).cast(pa.schema([(n, table.schema.field(n).type) for n in names]))
 
     done = _streamed(rows, min_words, handle, rows.select(*names).schema, **limits)
-    rest = docs.where("doc_id is null or text is null").select(*names)
-    return done.select(*[F.col(f.name).cast(f.dataType) for f in schema]).unionByName(rest)
+    rest = whole.where("doc_id is null or text is null")
+    return done.select(*[F.col(f.name).cast(f.dataType) for f in schema]).unionByName(rest).toDF(*docs.columns)
 
 
 def _remove(text: str, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[str, bool]:

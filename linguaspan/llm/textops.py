@@ -139,3 +139,9 @@ def anchors(tokens: np.ndarray, bounds: np.ndarray, length: int, short: int = 2)
     n = len(ok)
     at = np.flatnonzero(ok & ((small[:n] == least) | (small[span : span + n] == least)))
     return at, gram_hashes(tokens, length)[at]
+
+
+def plain(docs, *names: str):
+    """docs under names that can't clash: its columns of these exact names keep them, all others are numbered. toDF(*docs.columns) undoes it."""
+    first = {n: docs.columns.index(n) for n in names if n in docs.columns}
+    return docs.toDF(*[c if first.get(c) == i else f"_c{i}" for i, c in enumerate(docs.columns)])
