@@ -16,13 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, pick, ship
-from .textops import gram_hashes, inside, mix, portions, utf8, word_hashes, words
+from .textops import gram_hashes, inside, mix, plain, portions, utf8, word_hashes, words
 
 U = np.uint64
 BITS, FAN, FRONTIER = 4, 8, 1 << 20
@@ -145,6 +144,39 @@ def tree_pairs(sizes: np.ndarray, signatures: list[bytes], keys: np.ndarray, ban
             yield a, b
 
 
+def few_pairs(sizes: np.ndarray, signatures: list[bytes], keys: np.ndarray, band: np.ndarray, order: np.ndarray, heads: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The surviving pairs of all trees of FAN leaves at most, by the same bound; trees are stretches of `order`."""
+    parts = [np.zeros((2, 0), np.int64)]
+    for n in range(2, FAN + 1):
+        h = heads[count == n]
+        i, j = np.triu_indices(n, 1)
+        parts.append(np.stack([order[h[:, None] + i].ravel(), order[h[:, None] + j].ravel()]))
+    a, b = np.concatenate(parts, axis=1)
+    ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    a, b = a[ok], b[ok]
+    earlier = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < band[a][:, None])
+    ok = ~earlier.any(axis=1)
+    a, b = a[ok], b[ok]
+    widths = np.array([len(s) for s in signatures])
+    narrow = np.minimum(widths[a], widths[b])
+    keep = np.zeros(len(a), bool)
+    for width in np.unique(narrow).tolist():
+        at = np.flatnonzero(narrow == width)
+        used, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        rows = np.empty((len(used), width // 8), np.uint64)
+        for w in np.unique(widths[used]).tolist():
+            mine = np.flatnonzero(widths[used] == w)
+            rows[mine] = _fold(np.frombuffer(b"".join(signatures[k] for k in used[mine]), np.uint8).reshape(len(mine), w), width).view(np.uint64)
+        lost = sizes[used] - np.bitwise_count(rows).sum(axis=1)
+        x, y = place[: len(at)], place[len(at) :]
+        for lo in range(0, len(at), max(1, (1 << 22) // width)):
+            k = slice(lo, lo + max(1, (1 << 22) // width))
+            common = np.bitwise_count(rows[x[k]] & rows[y[k]]).sum(axis=1).astype(np.int64)
+            most = np.minimum(common + np.minimum(lost[x[k]], lost[y[k]]), np.minimum(sizes[a[at[k]]], sizes[b[at[k]]]))
+            keep[at[k]] = most * (1 + threshold) >= threshold * (sizes[a[at[k]]] + sizes[b[at[k]]]) - 1e-9
+    return a[keep], b[keep]
+
+
 def exact(grams: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard of pairs of sets."""
     out = np.empty(len(a))
@@ -206,18 +238,31 @@ def _joined(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, sp
     met = each.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     trees = each.join(met, ["band", "key"]).join(sets.select("set1", "set2", "id", "size", "signature", "keys"), ["set1", "set2"])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "set1"], ignore_index=True)
-        keys = np.array(pdf["keys"].tolist(), np.int64)
-        found = list(tree_pairs(pdf["size"].to_numpy(), pdf["signature"].tolist(), keys, int(pdf["band"].iloc[0]), threshold))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        swap = a > b
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All trees of a partition: large ones by a walk of their levels; those of few leaves, where a root has only leaves, together."""
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        t = pa.Table.from_batches(batches)
+        band, key, one, two, ids, sizes = (np.asarray(t.column(c)) for c in ("band", "key", "set1", "set2", "id", "size"))
+        marks = t.column("signature").to_pylist()
+        keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
+        order = np.lexsort((one, ids, key, band))
+        heads = np.flatnonzero(np.concatenate([[True], (band[order][1:] != band[order][:-1]) | (key[order][1:] != key[order][:-1])]))
+        count = np.diff(np.append(heads, len(order)))
+        found = [few_pairs(sizes, marks, keys, band, order, heads, count, threshold)]
+        for h, n in zip(heads[count > FAN].tolist(), count[count > FAN].tolist()):
+            own = order[h : h + n]
+            found += [(own[i], own[j]) for i, j in tree_pairs(sizes[own], [marks[i] for i in own], keys[own], int(band[own[0]]), threshold)]
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        swap = (ids[a] > ids[b]) | ((ids[a] == ids[b]) & (one[a] > one[b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        one, two, ids = (pdf[c].to_numpy() for c in ("set1", "set2", "id"))
-        return pd.DataFrame({"tree": np.full(len(a), pdf["key"].iloc[0]), "a1": one[a], "a2": two[a], "id_a": ids[a], "b1": one[b], "b2": two[b], "id_b": ids[b]})
+        for lo in range(0, len(a), 1 << 16):
+            x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(v) for v in (key[x], one[x], two[x], ids[x], one[y], two[y], ids[y])], names=["tree", "a1", "a2", "id_a", "b1", "b2", "id_b"])
 
     pair_type = "tree bigint, a1 bigint, a2 bigint, id_a bigint, b1 bigint, b2 bigint, id_b bigint"
-    likely = cut(trees.groupBy("band", "key").applyInPandas(walk, pair_type))
+    likely = cut(trees.repartition("band", "key").mapInArrow(walk, pair_type))
     wanted = likely.select("tree", F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("id_a").alias("doc_id")).unionByName(likely.select("tree", F.col("b1").alias("s1"), F.col("b2").alias("s2"), F.col("id_b").alias("doc_id")))
     wanted = wanted.distinct().groupBy("doc_id").agg(F.collect_set("s1").alias("s1"), F.collect_set("tree").alias("trees"))
     source = texts.join(wanted, "doc_id")  # only the texts of sets that pairs need go on
@@ -330,4 +375,5 @@ def one_of_each(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int
     copies, pairs = _joined(docs, threshold, n, bands, rows, True)
     groups = components(copies.unionByName(pairs.select("doc_id_a", "doc_id_b")))
     gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    whole = plain(docs, "doc_id")
+    return whole.join(gone, whole["doc_id"] == gone["_gone"], "left_anti").toDF(*docs.columns)
