@@ -3,7 +3,7 @@
 Recurring passages are confirmed first: windows of min_words words that stand in two documents at least. The lowest
 document that has a window is its home; neighbouring windows of one home are a passage. The documents are cut into shards,
 and each shard compiles an Aho-Corasick automaton (over words, not characters) of the anchors of just those passages that
-its documents can hold, so no automaton grows with the corpus. Every document is streamed through its shard's automaton; each
+its documents hold, so no automaton grows with the corpus. Every document is streamed through its shard's automaton; each
 hit is extended along the passage, which locates every occurrence to its full length.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut, pick, ship
+from ..runtime import pick, ship
 from .repeats import anchored, at_hits, buckets_of, by_bucket, islands, read_texts, reach, recurring, unpack
 from .textops import anchors, gram_hashes, plain, portions, utf8, word_hashes, words
 
@@ -36,56 +36,69 @@ def shards_of(docs: DataFrame) -> int:
     return 4 * buckets_of(docs) + 1
 
 
-def passages(rows: DataFrame, shared: DataFrame, min_words: int, **limits: int) -> DataFrame:
-    """(home, start_word, passage): maximal runs of recurring windows of one home, as text of the home."""
+def passages(rows: DataFrame, min_words: int, n_shards: int, **limits: int) -> DataFrame:
+    """(shard, home, passage): for each shard the runs of recurring windows that its documents have, as text of the windows' home.
+
+    Windows are met by their first recurring anchor, which is the same wherever a window stands; so neighbouring windows stay together, and
+    a shard is named once for each run of them.
+    """
     length, buckets = _anchor_length(min_words), buckets_of(rows)
 
     def windows(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            h, ids, start = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(h, kind="stable")
-            return by_bucket(h[order], buckets, ids[order], start[order])
+            anchor, h, ids, start = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(anchor, kind="stable")
+            t = by_bucket(anchor[order], buckets, h[order], ids[order], start[order])
+            return t.select(["bucket", "c1", "c2", "c3"])
 
         size = 0
-        for batch, part, at, _ in parts:
+        for batch, part, at, anchor in parts:
             left = reach(part, at, length, min_words)
             count = left + 1
             begin = np.repeat(at, count) - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+            anchor = np.repeat(anchor, count)
             text = part.text_of(begin)
             ok = begin + min_words <= part.bounds[text + 1]
-            begin, text = begin[ok], text[ok]
+            begin, text, anchor = begin[ok], text[ok], anchor[ok]
             if len(begin):
                 ids = batch.column("doc_id").to_numpy()
-                found.append((gram_hashes(part.tokens, min_words)[begin], ids[part.a + text], (begin - part.bounds[text]).astype(np.int32)))
+                found.append((anchor, gram_hashes(part.tokens, min_words)[begin], ids[part.a + text], (begin - part.bounds[text]).astype(np.int32)))
                 size += len(begin)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield packed()
                 found, size = [], 0
         if found:
             yield packed()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, doc, start = unpack(pdf["c0"], np.uint64), unpack(pdf["c1"], np.int64), unpack(pdf["c2"], np.int32)
+        h, doc, start = unpack(pdf["c1"], np.uint64), unpack(pdf["c2"], np.int64), unpack(pdf["c3"], np.int32)
         order = np.lexsort((start, doc, h))
         h, doc, start = h[order], doc[order], start[order]
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         tails = np.append(heads[1:], len(h)) - 1
         size = np.diff(np.append(heads, len(h)))
-        home = np.repeat((doc[heads] != doc[tails]), size) & (np.repeat(doc[heads], size) == doc)
-        return pd.DataFrame({"doc_id": doc[home], "start_word": start[home]})
+        again = np.repeat(doc[heads] != doc[tails], size)
+        home, begin, shard = np.repeat(doc[heads], size)[again], np.repeat(start[heads], size)[again], (doc % n_shards)[again]
+        order = np.lexsort((begin, home, shard))
+        home, begin, shard = home[order], begin[order], shard[order]
+        new = np.ones(len(home), bool)
+        new[1:] = (home[1:] != home[:-1]) | (shard[1:] != shard[:-1]) | (begin[1:] > begin[:-1] + 1)
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(home)) - 1 if len(heads) else heads
+        return pd.DataFrame({"doc_id": home[heads], "shard": shard[heads].astype(np.int32), "start_word": begin[heads], "end_word": begin[tails] + 1})
 
-    split = at_hits(rows, read_texts, anchored(length), shared, windows, "bucket int, c0 binary, c1 binary, c2 binary", **limits)
-    homes = split.groupBy("bucket").applyInPandas(meet, "doc_id bigint, start_word int")
-    spans = islands(homes.withColumn("end_word", F.col("start_word") + 1), "doc_id")
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+    shared = recurring(rows, read_texts, length)
+    split = at_hits(rows, read_texts, anchored(length), shared, windows, "bucket int, c1 binary, c2 binary, c3 binary", **limits)
+    runs = islands(split.groupBy("bucket").applyInPandas(meet, "doc_id bigint, shard int, start_word int, end_word int"), "doc_id", "shard")
+    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start_word", "end_word")).alias("spans"))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             spans, ids = batch.column("spans").to_pylist(), batch.column("doc_id").to_numpy()
-            home, begin, cut_out = [], [], []
+            shard, home, cut_out = [], [], []
             for a, b in portions(offsets):
                 starts, ends, bounds = words(data, offsets[a : b + 1])
                 for i in range(a, b):
@@ -93,37 +106,12 @@ def passages(rows: DataFrame, shared: DataFrame, min_words: int, **limits: int)
                     for s in spans[i]:
                         last = base + s["end_word"] - 1 + min_words
                         if last <= bounds[i - a + 1]:  # else another row of this doc_id
+                            shard.append(s["shard"])
                             home.append(ids[i])
-                            begin.append(s["start_word"])
                             cut_out.append(data[starts[base + s["start_word"]] : ends[last - 1]].tobytes().decode())
-            yield pa.record_batch([pa.array(home, pa.int64()), pa.array(begin, pa.int32()), pa.array(cut_out, pa.string())], names=["home", "start_word", "passage"])
-
-    return rows.join(spans, "doc_id").mapInArrow(text, "home bigint, start_word int, passage string")
-
-
-def _routed(rows: DataFrame, min_words: int, n_shards: int, **limits: int) -> DataFrame:
-    """(shard, home, passage): each passage for every shard that has one of its anchors."""
-    length = _anchor_length(min_words)
-    shared = recurring(rows, read_texts, length)
-    found = cut(passages(rows, shared, min_words, **limits).withColumn("pid", F.xxhash64("home", "start_word")))
-
-    def where(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros((2, 0), np.int64)]
-        for batch, part, at, h in parts:
-            shard = batch.column("doc_id").to_numpy()[part.a + part.text_of(at)] % n_shards
-            seen.append(np.unique(np.stack([h.view(np.int64), shard]), axis=1))
-        h, shard = np.unique(np.concatenate(seen, axis=1), axis=1)
-        yield pa.record_batch([pa.array(h), pa.array(shard.astype(np.int32))], names=["h", "shard"])
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pid = batch.column("pid").to_numpy()
-            for part in read_texts(pa.record_batch([batch.column("passage")], names=["text"])):
-                at, h = part.anchors(length)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(pid[part.a + part.text_of(at)])], names=["h", "pid"])
+            yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(home, pa.int64()), pa.array(cut_out, pa.string())], names=["shard", "home", "passage"])
 
-    needed = found.mapInArrow(own, "h bigint, pid bigint").join(at_hits(rows, read_texts, anchored(length), shared, where, "h bigint, shard int", **limits), "h")
-    return needed.select("pid", "shard").distinct().join(found, "pid").select("shard", "home", "passage")
+    return rows.join(spans, "doc_id").mapInArrow(text, "shard int, home bigint, passage string")
 
 
 class Automaton:
@@ -192,7 +180,7 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
 def _streamed(rows: DataFrame, min_words: int, handle, schema: T.StructType | str, **limits: int) -> DataFrame:
     """handle(table, automaton) over each shard of rows (doc_id, text, ...)."""
     n_shards = shards_of(rows)
-    routed = _routed(pick(rows, "doc_id", "text"), min_words, n_shards, **limits)
+    routed = passages(pick(rows, "doc_id", "text"), min_words, n_shards, **limits)
     shard = F.pmod("doc_id", F.lit(n_shards)).cast("int")
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:

@@ -22,7 +22,7 @@ from .textops import anchors, gram_hashes, inside, mix, portions, utf8, word_has
 
 U = np.uint64
 EVEN = U(0xFFFFFFFFFFFFFFFE)
-BROADCAST_BYTES = 1 << 26
+BROADCAST_BYTES = 1 << 24
 
 
 @dataclass
@@ -116,7 +116,12 @@ def at_hits(rows: DataFrame, read: Reader, find: Callable[[Part], tuple[np.ndarr
     """
     sc = rows.sparkSession.sparkContext
     if shared.count() * 8 <= broadcast_bytes:
-        known = sc.broadcast(np.sort(np.asarray(shared.toPandas()["h"], np.int64).view(np.uint64)))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([pa.array([batch.column("h").to_numpy().tobytes()], pa.binary())], names=["h"])
+
+        known = sc.broadcast(np.sort(np.frombuffer(b"".join(r["h"] for r in shared.mapInArrow(packed, "h binary").collect()), np.uint64)))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = known.value
