@@ -23,7 +23,7 @@ def tokens(text: Column, mode: str = "space") -> Column:
         return F.split(text, " ")
     if mode in ("conservative", "aggressive"):
         inner = r"[\p{L}\p{M}\p{N}]++(?:[-_.'’,][\p{L}\p{M}\p{N}]++)*+" if mode == "conservative" else r"[\p{L}\p{M}]++|\p{N}++"
-        marked = F.regexp_replace(text, rf"({inner}|[^\s])(?=\S)", f"$1{JOINER} ")
+        marked = F.regexp_replace(text, rf"({inner}|[^\s\p{{L}}\p{{M}}\p{{N}}])(?=\S)", f"$1{JOINER} ")
         parts = F.filter(F.split(marked, r"(?U)\s+"), lambda w: w != "")
         # the joiner goes to the mark: a￭ , -> a ￭,
         word = r"[\p{L}\p{M}\p{N}]"

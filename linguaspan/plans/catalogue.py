@@ -466,11 +466,11 @@ def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     return embed.context_windows(passages(spark, sf), "item_id").withColumn("context", F.array_join("context", " "))
 
 
-@query("select label, d, round(round(avg(v::double), 6), 4) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
+@query("select label, d, round(avg(v::double), 6) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
 def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     pooled = embed.pooled(e.select("label", F.col("vec_id").alias("word")), e.select(F.col("vec_id").alias("word"), "embedding"), "label")
-    return pooled.select("label", F.posexplode("embedding").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), (F.round("v", 4) + 0.0).alias("v").alias("v"))
+    return pooled.select("label", F.posexplode("embedding").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), (F.col("v") + 0.0).alias("v").alias("v"))
 
 
 @query()
