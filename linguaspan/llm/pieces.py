@@ -1,13 +1,11 @@
-"""SentencePiece encoding and decoding of texts of any length by a max-plus parallel scan.
+"""SentencePiece encoding and decoding of texts of any length by the merges of a BPE model.
 
-The best segmentation is the one of highest total piece score. A text is cut into chunks; the state at a cut is how
-many characters the piece that straddles it reaches beyond. A chunk's transfer matrix holds, for each state at its
-begin and end, the best score in between, and matrices combine associatively (max of sums). Once the best states at
-all cuts are known, each chunk is traced back by itself. Texts longer than `segment_chars` are handled so by many
-tasks, a segment each; within a task the chunks of a text are.
+The ids are those that the library gives for the whole text with the model file as it is. A merge makes a piece, so none can
+cross a place whose two characters stand side by side in no piece; the merges on either side of such a place don't depend on
+each other. Texts are cut only there: those longer than `segment_chars` into segments for many tasks, and within a task into
+chunks. Where there is no such place (a run of one letter, say) a part is as long as it has to be.
 
-Pieces and scores are the model file's own, unknown characters fall back to bytes. Chunks are so short that sums of
-scores are exact in the library's 32-bit floats. Decoding gives back the exact text.
+Unknown characters fall back to bytes. Decoding gives back the exact text.
 """
 
 from __future__ import annotations
@@ -32,24 +30,15 @@ CHUNK = 512
 
 
 def load_model(path: str = MODEL) -> bytes:
-    """The model file with its pieces and scores as they are, set to best-score segmentation and to leave white space to us.
-
-    Pieces of score under -1e8 (runs of blanks) can't be part of a best segmentation; they are marked unused, so that
-    the score of unknown characters stays near the others. The single blank, which is needed, gets the lowest score of the rest.
-    """
+    """The model file; only the blank before a text is left to us, since a text comes in parts."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     with open(path, "rb") as f:
         m = pb.ModelProto.FromString(f.read())
-    m.trainer_spec.model_type = 1
-    m.normalizer_spec.add_dummy_prefix = False
-    lowest = min(p.score for p in m.pieces if p.type == 1 and p.score > -1e8)
-    for p in m.pieces:
-        if p.type == 1 and p.score < -1e8:
-            if p.piece == SPACE:
-                p.score = lowest
-            else:
-                p.type = 5
+    n = m.normalizer_spec
+    if m.trainer_spec.model_type != 2 or n.name != "identity" or not n.add_dummy_prefix or n.remove_extra_whitespaces or not m.trainer_spec.byte_fallback or any(p.type in (4, 5) for p in m.pieces):
+        raise ValueError("parts give the whole text's ids only for a BPE model with bytes, a blank before the text and no other normalization, and without unused or user-defined pieces")
+    n.add_dummy_prefix = False
     return m.SerializeToString()
 
 
@@ -62,11 +51,7 @@ class Coder:
 
         m = pb.ModelProto.FromString(model)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        usable = [p.piece for p in m.pieces if p.type in (1, 4)]
-        self.pieces = set(usable)
-        self.longest = max(map(len, usable))
-        self.heads = {p[:i] for p in usable for i in range(1, len(p) + 1)}
-        lowest = min(p.score for p in m.pieces if p.type == 1)
+        self.inner = {p.piece[i : i + 2] for p in m.pieces if p.type == 1 for i in range(len(p.piece) - 1)}
         self.scores = np.array([p.score for p in m.pieces], np.float64)
         texts = []
         self.byte_id = np.full(256, -1)
@@ -74,85 +59,53 @@ class Coder:
             if p.type == 6:
                 b = int(p.piece[3:5], 16)
                 self.byte_id[b] = i
-                self.scores[i] = lowest - 10 if b < 0x80 or b >= 0xC0 else 0  # an unknown character counts once
                 texts.append(bytes([b]))
             else:
-                texts.append(p.piece.replace(SPACE, " ").encode() if p.type in (1, 4, 5) else b"")
+                texts.append(p.piece.replace(SPACE, " ").encode() if p.type == 1 else b"")
         self.size = np.array([len(t) for t in texts])
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def prepare(self, text: str) -> tuple[str, str | None]:
-        """The text with a blank before it and marks for blanks, and what stands for a mark that was in it."""
+        """The text with a blank before it, if it isn't empty, and marks for blanks, and what stands for a mark that was in it."""
         stand = None
+        if not text:
+            return text, stand
         if SPACE in text:
             stand = next(chr(c) for c in chain(range(0xFDD0, 0xFDF0), range(0xE000, 0xF900)) if chr(c) not in text)
             text = text.replace(SPACE, stand)
         return (" " + text).replace(" ", SPACE), stand
 
-    def states(self, text: str, cut: int) -> list[int]:
-        """How far a piece that straddles the cut can reach beyond it; 0: a piece ends at the cut."""
-        if cut >= len(text) or cut == 0:
-            return [0]
-        out = {0}
-        for a in range(max(0, cut - self.longest + 1), cut):
-            b = cut
-            while b <= len(text) and text[a:b] in self.heads:
-                if b > cut and text[a:b] in self.pieces:
-                    out.add(b - cut)
-                b += 1
-        return sorted(out)
-
-    def cuts(self, text: str, chunk: int = CHUNK) -> list[int]:
-        """Ends of the chunks: before a blank, where one is near."""
+    def cuts(self, text: str, size: int) -> list[int]:
+        """Ends of the parts: from `size` characters on, the first place that no merge can cross."""
         out, at, n = [], 0, len(text)
-        while n - at > chunk:
-            blank = text.rfind(SPACE, at + chunk // 2, at + chunk)
-            at = blank if blank > 0 else at + chunk
-            out.append(at)
+        while n - at > size:
+            at += size
+            while at < n and text[at - 1 : at + 1] in self.inner:
+                at += 1
+            if at < n:
+                out.append(at)
         return [*out, n]
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, where each begins, and each one's score."""
-        ids = self.sp.encode(texts, num_threads=1)
+    def encode_ready(self, texts: list[str], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all prepared texts, or parts of them, in a row and where each begins."""
+        spans: list[str] = []
+        first = [0]
+        for text in texts:
+            at = 0
+            for end in self.cuts(text, chunk):
+                spans.append(text[at:end])
+                at = end
+            first.append(len(spans))
+        ids = self.sp.encode(spans, num_threads=1)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        total = np.concatenate([[0], np.cumsum(self.scores[flat])])
-        return flat, bounds, total[bounds[1:]] - total[bounds[:-1]]
-
-    def chunked(self, text: str, lo: int, hi: int, chunk: int) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-        """Jobs (chunk number, state at begin, state at end, ...) as spans of text[lo:hi], with the states at lo and hi."""
-        jobs, at = [], lo
-        first = before = self.states(text, lo)
-        for k, end in enumerate(self.cuts(text[lo:hi], chunk)):
-            after = self.states(text, lo + end)
-            jobs += [(k, a, b, at + a, max(at + a, lo + end + b)) for a in before for b in after if at + a <= lo + end + b]
-            before, at = after, lo + end
-        return jobs, first, before
+        return flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)[first]
 
     def encode(self, texts: list[str], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each begins."""
         parts = [self.prepare(t) for t in texts]
-        spans: list[str] = []
-        plans = []
-        for text, _ in parts:
-            jobs, _, _ = self.chunked(text, 0, len(text), chunk) if len(text) > chunk else ([(0, 0, 0, 0, len(text))], [0], [0])
-            plans.append((len(spans), jobs))
-            spans += [text[j[3] : j[4]] for j in jobs]
-        flat, bounds, scores = self.encode_all(spans)
-        chosen: list[int] = []
-        sizes = []
-        for first, jobs in plans:
-            if jobs[-1][0] == len(jobs) - 1:  # one state at every cut: nothing to choose
-                way = range(first, first + len(jobs))
-            else:
-                way = [first + i for i in best_path(jobs, scores[first : first + len(jobs)])]
-            chosen += way
-            sizes.append(int((bounds[np.asarray(way) + 1] - bounds[np.asarray(way)]).sum()))
-        if len(chosen) < len(spans):
-            flat = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in chosen])
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat, offsets = self.encode_ready([t for t, _ in parts], chunk)
         if any(s for _, s in parts):
             flat, offsets = self.restore(flat, offsets, [s for _, s in parts])
         return flat, offsets
@@ -175,35 +128,6 @@ class Coder:
         return self.bytes[np.repeat(self.begin[ids], size) + place].tobytes()[1:]
 
 
-def combine(left: dict[tuple[int, int], float], right: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
-    """Max-plus product of two transfer matrices; associative."""
-    out: dict[tuple[int, int], float] = {}
-    for (a, m), x in left.items():
-        for (m2, b), y in right.items():
-            if m == m2 and x + y > out.get((a, b), -np.inf):
-                out[a, b] = x + y
-    return out
-
-
-def best_path(jobs: list[tuple], scores: np.ndarray) -> list[int]:
-    """The job of each chunk on the best way from state 0 to state 0; among equal scores the first states."""
-    levels: list[dict[int, tuple[float, int, int]]] = [{0: (0.0, -1, 0)}]
-    k = -1
-    for i, (job, s) in enumerate(zip(jobs, scores.tolist())):
-        if job[0] != k:
-            k = job[0]
-            levels.append({})
-        if job[1] in levels[-2]:
-            total = levels[-2][job[1]][0] + s
-            if job[2] not in levels[-1] or total > levels[-1][job[2]][0]:
-                levels[-1][job[2]] = (total, i, job[1])
-    out, state = [], 0
-    for level in reversed(levels[1:]):
-        _, i, state = level[state]
-        out.append(i)
-    return out[::-1]
-
-
 _coders: dict[str, Coder] = {}
 
 
@@ -222,9 +146,9 @@ def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 16, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids, exact) for every row of docs (doc_id, text); exact: the ids were decoded again and gave the text.
 
-    A null text has null ids, no tokens and a null exact; an empty text is the blank that precedes every text. A null doc_id is carried
-    along, repeated rows are encoded each, other columns are ignored. Equal scores go to the first state at a cut and, within
-    a chunk, to the library's choice.
+    The ids are those of the library's encode() with the unaltered model, but for texts that hold the mark U+2581 itself: the library makes it a
+    blank, which can't be decoded exactly; here it is given as its bytes. A null text has null ids, no tokens and a null exact; an empty text
+    has no ids. A null doc_id is carried along, repeated rows are encoded each, other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -248,55 +172,36 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
                 yield pa.record_batch([part.column("doc_id"), counts, ids, pa.array(exact, pa.bool_())], names=schema.names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each segment, with as much before and after it as a piece can reach."""
-        reach = _coder(shared).longest
+        """Each segment."""
+        coder = _coder(shared)
         for batch in batches:
-            for doc_id, text, key in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("key").to_pylist()):
-                ready, stand = _coder(shared).prepare(text)
-                for k, lo in enumerate(range(0, len(ready), segment_chars)):
-                    hi = min(len(ready), lo + segment_chars)
-                    a = max(0, lo - reach)
-                    yield pa.record_batch([pa.array([doc_id], rows_type), *[pa.array([v], t) for v, t in ((key, pa.int64()), (k, pa.int32()), (stand, pa.string()), (lo - a, pa.int32()), (hi - a, pa.int32()), (hi >= len(ready), pa.bool_()), (ready[a : hi + reach], pa.string()))]], names=["doc_id", "key", "k", "stand", "lo", "hi", "last", "part"])
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A segment's transfer matrix, with the ids of each of its entries."""
+            for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist()):
+                ready, stand = coder.prepare(text)
+                at = 0
+                for k, end in enumerate(coder.cuts(ready, segment_chars)):
+                    yield pa.record_batch([pa.array([v], t) for v, t in ((key, pa.int64()), (k, pa.int32()), (stand, pa.string()), (ready[at:end], pa.string()))], names=["key", "k", "stand", "part"])
+                    at = end
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each segment."""
         coder = _coder(shared)
         for batch in batches:
-            for r in batch.to_pylist():
-                text = r["part"]
-                if r["last"]:
-                    text = text[: r["hi"]]
-                jobs, first, last = coder.chunked(text, r["lo"], r["hi"], chunk)
-                flat, bounds, scores = coder.encode_all([text[j[3] : j[4]] for j in jobs])
-                n = jobs[-1][0]
-                for a in first:
-                    for b in last:
-                        use = [i for i, j in enumerate(jobs) if (j[0] > 0 or j[1] == a) and (j[0] < n or j[2] == b)]
-                        if not use:
-                            continue
-                        own = [(jobs[i][0], 0 if jobs[i][0] == 0 else jobs[i][1], 0 if jobs[i][0] == n else jobs[i][2]) for i in use]
-                        try:
-                            way = [use[i] for i in best_path(own, scores[use])]
-                        except KeyError:
-                            continue  # these two states don't go together
-                        ids = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in way])
-                        yield pa.record_batch([pa.array([r["doc_id"]], rows_type), *[pa.array([v], t) for v, t in ((r["key"], pa.int64()), (r["k"], pa.int32()), (r["stand"], pa.string()), (a, pa.int32()), (b, pa.int32()), (float(scores[way].sum()), pa.float64()), (ids, pa.list_(pa.int32())))]], names=["doc_id", "key", "k", "stand", "a", "b", "score", "ids"])
+            ids = _lists(*coder.encode_ready(batch.column("part").to_pylist(), chunk))
+            yield pa.record_batch([*[batch.column(c) for c in ("key", "k", "stand")], ids], names=["key", "k", "stand", "ids"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Combine a document's matrices and put the chosen ids in a row."""
+        """Put the ids of a document's segments in a row."""
         coder = _coder(shared)
-        pdf = pdf.drop_duplicates(["k", "a", "b"]).sort_values(["k", "a", "b"], ignore_index=True)  # repeated rows gave the same segments
-        way = best_path(list(zip(pdf["k"], pdf["a"], pdf["b"])), pdf["score"].to_numpy())
-        flat = np.concatenate([np.asarray(pdf["ids"].iloc[i], np.int32) for i in way])
+        pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)  # repeated rows gave the same segments
+        flat = np.concatenate([np.asarray(x, np.int32) for x in pdf["ids"]])
         flat, _ = coder.restore(flat, np.array([0, len(flat)]), [pdf["stand"].iloc[0]])
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_tokens": [len(flat)], "ids": [flat], "text_again": [coder.decode(flat).decode("utf-8", "replace")]})
 
-    rows_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[rows.schema["doc_id"].dataType.simpleString()]
     giant = F.coalesce(F.length("text"), F.lit(0)) > segment_chars
     small = rows.where(~giant).mapInArrow(whole, schema)
     large = rows.where(giant).withColumn("key", F.xxhash64("doc_id", "text"))
-    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, k int, stand string"
-    segments = large.mapInArrow(split, kind + ", lo int, hi int, last boolean, part string").repartition("key", "k")
-    solved = segments.mapInArrow(matrices, kind + ", a int, b int, score double, ids array<int>")
+    kind = "key bigint, k int, stand string"
+    segments = large.mapInArrow(split, kind + ", part string").repartition("key", "k")
+    solved = segments.mapInArrow(solve, kind + ", ids array<int>")
     done = solved.groupBy("key").applyInPandas(join, "key bigint, n_tokens bigint, ids array<int>, text_again string")
     return small.unionByName(large.join(done, "key").select("doc_id", "n_tokens", "ids", (F.col("text_again") == F.col("text")).alias("exact")))

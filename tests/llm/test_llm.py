@@ -192,6 +192,17 @@ def test_pieces_round_trip(spark, segment):
         assert abs(sp.scores[want].sum() - sp.scores[mine].sum()) < 1e-3
 
 
+@pytest.mark.parametrize("segment", [200, 1 << 16])
+def test_pieces_are_those_of_the_unaltered_library(spark, segment):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(8)
+    texts = ["", " ", "the international community  and   others\n\n", "é漢字🙂 x" * 40, "国际社会" * 90, " " * 1500, "a" * 1500, "the international community " * 40, prose(rng, 400), "".join(rng.choice("ab 国éz\n  ") for _ in range(3000))]
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), segment_chars=segment, chunk=64).collect()
+    sp = SentencePieceProcessor(model_file=pieces.MODEL)
+    assert {r.doc_id: r.ids for r in got} == dict(enumerate(sp.encode(texts))) and all(r.exact for r in got)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], ODD)
     assert suffix_dedup.duplicates(docs).count() == 0
