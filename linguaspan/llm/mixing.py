@@ -33,7 +33,8 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
     weights: by source, and a source that isn't named weighs nothing; without it a source weighs its number of tokens to the power of alpha (0: all the
     same, 1: nothing changes). As many shards are made as the scarcest source can fill, one at least (a source short of blocks then gives what it has).
-    A source without a whole block takes no part, nor do the tokens after a source's last whole block. A null source is the
+    A source without a whole block takes no part, nor do the tokens after a source's last whole block. A source whose highest quotient isn't among
+    the first `shard_blocks` has no seat, and none of its documents is taken; what the others have beyond the shards is left. dropped() tells how much. A null source is the
     empty name; a null text has no tokens, and such a document belongs to the block at whose place it stands. Documents are ordered
     by a hash of doc_id, then doc_id, then tokens; repeated rows each count. An empty table gives no row. Other columns are ignored.
     """
@@ -49,12 +50,26 @@ def taken(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return kept.toDF(*docs.columns)
 
 
+def dropped(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_tokens: int = 512, shard_blocks: int = 100, seed: int = 17) -> DataFrame:
+    """(source, n_docs, n_tokens, docs_dropped, tokens_dropped, share): what plan() leaves of every source; share of the source's tokens, 0 if it has none."""
+    count = lambda rows, *names: rows.groupBy("source").agg(F.count("*").alias(names[0]), F.sum("n_tokens").alias(names[1]))
+    whole = count(pick(docs, "text", "source").select(F.coalesce("source", F.lit("")).alias("source"), _tokens().alias("n_tokens")), "n_docs", "n_tokens")
+    used = count(plan(docs, weights, alpha, block_tokens, shard_blocks, seed), "docs_used", "tokens_used")
+    left = whole.join(used, "source", "left").withColumn("tokens_dropped", F.col("n_tokens") - F.coalesce("tokens_used", F.lit(0)))
+    share = F.when(F.col("n_tokens") > 0, F.col("tokens_dropped") / F.col("n_tokens")).otherwise(0.0)
+    return left.select("source", "n_docs", "n_tokens", (F.col("n_docs") - F.coalesce("docs_used", F.lit(0))).alias("docs_dropped"), "tokens_dropped", F.round(share, 6).alias("share"))
+
+
+def _tokens() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def _plan(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block_tokens: int, shard_blocks: int, seed: int) -> DataFrame:
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "source").select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"),
+        _tokens().alias("n_tokens"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
         F.xxhash64("doc_id", "text", "source").alias("_row"),
     )

@@ -119,6 +119,17 @@ def test_mixture_takes_whole_blocks(spark):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_what_the_mixture_drops_is_told(spark):
+    rows = [(i, "w " * 10, f"s{i % 3}") for i in range(300)] + [(300 + i, "w " * 10, "rare") for i in range(5)] + [(400, None, "void")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.source: r for r in mixing.dropped(docs, None, 0.8, 50, 3, 1).collect()}
+    plan = mixing.plan(docs, None, 0.8, 50, 3, 1).toPandas()
+    assert set(got) == {"s0", "s1", "s2", "rare", "void"} and got["rare"].share == 1.0 and got["void"].docs_dropped == 1 and got["void"].share == 0.0
+    for s, r in got.items():
+        mine = plan[plan.source == s]
+        assert (r.n_docs - r.docs_dropped, r.n_tokens - r.tokens_dropped) == (len(mine), mine.n_tokens.sum())
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     x, bounds = rng.normal(size=(11, len(line_quality.FEATURES))), np.array([0, 4, 4, 11])
