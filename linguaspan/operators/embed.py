@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels as K
 from ..functions import text as X
-from ..runtime import cut, ship
+from ..runtime import ship
 
 
 def context_windows(lines: DataFrame, id_column: str, window: int = 5) -> DataFrame:
@@ -102,22 +104,16 @@ def train_vectors(lines: DataFrame, size: int = 300, window: int = 5, least: int
     return model.getVectors().select("word", vector_to_array("vector").cast("array<float>").alias("embedding"))
 
 
-def learn_merges(freq: DataFrame, symbols: int = 100, least: int = 1) -> DataFrame:
-    """(rank, left, right, n): byte-pair merges of words (word, freq). Each round counts neighbouring symbols by groupBy and merges the most frequent pair; ties by the pair."""
-    spark = freq.sparkSession
-    words = cut(freq.select(F.filter(F.split("word", ""), lambda c: c != "").alias("parts"), "freq"))
-    out = []
-    for rank in range(symbols):
-        pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.get("parts", i - 1).alias("left"), F.get("parts", i).alias("right")))
-        best = words.where(F.size("parts") > 1).select(F.explode(pairs).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("n")).orderBy(F.col("n").desc(), "left", "right").first()
-        if best is None or best["n"] < least:
-            break
-        out.append((rank, best["left"], best["right"], int(best["n"])))
-        a, b = F.lit(best["left"]), F.lit(best["right"])
-        start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("held"))
-        push = lambda acc: F.when(acc["held"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"])))
-        step = lambda acc, w: F.when((acc["held"] == a) & (w == b), F.struct(F.concat(acc["done"], F.array(F.concat(a, b))).alias("done"), F.lit(None).cast("string").alias("held"))).otherwise(F.struct(push(acc).alias("done"), w.alias("held")))
-        words = words.select(F.aggregate("parts", start, step, push).alias("parts"), "freq")
-        if rank % 10 == 9:
-            words = cut(words)
-    return spark.createDataFrame(out, "rank int, left string, right string, n bigint")
+def learn_merges(freq: DataFrame, symbols: int = 32000, least: int = 1) -> DataFrame:
+    """(rank, left, right, n): byte-pair merges of words (word, freq); each merges the most frequent pair of neighbouring symbols, ties by the pair.
+
+    A merge depends on all before it, so one task has the word types (not the text) and keeps the counts of pairs up to date.
+    """
+    ship(freq.sparkSession)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = (w for b in batches for w in zip(b.column("word").to_pylist(), b.column("freq").to_pylist()))
+        found = list(K.byte_pairs(words, symbols, least))
+        yield pa.record_batch([pa.array(range(len(found)), pa.int32()), *[pa.array([m[i] for m in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]], names=["rank", "left", "right", "n"])
+
+    return freq.select("word", "freq").where("word is not null").repartition(1).mapInArrow(learn, "rank int, left string, right string, n bigint")

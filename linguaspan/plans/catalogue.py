@@ -488,7 +488,7 @@ def negative_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def subword_merges(spark: SparkSession, sf: str) -> DataFrame:
-    return embed.learn_merges(stats.word_freq(passages(spark, sf)), 20)
+    return embed.learn_merges(stats.word_freq(documents(spark, sf)), 32000)
 
 
 @query()

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +63,27 @@ def test_gaps_restore_the_sentence():
 
 def test_features_over_joiners():
     assert K.joined_features("this is un example .".split(), "S S S R S".split(), "this is un exa ￭mple .".split()) == "S S S R R S".split()
+
+
+def test_byte_pairs_equal_counting_anew():
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(150)} | {"aaaaa": 7, "ababab": 3}
+    parts, want = {w: list(w) for w in words}, []
+    for _ in range(400):
+        n = Counter()
+        for w, p in parts.items():
+            for x in zip(p, p[1:]):
+                n[x] += words[w]
+        if not n:
+            break
+        best = min(n, key=lambda x: (-n[x], x))
+        want.append((*best, n[best]))
+        for w, p in parts.items():
+            out = []
+            for c in p:
+                if out and out[-1] == (best[0], 0) and c == best[1]:
+                    out[-1] = ("".join(best), 1)
+                else:
+                    out.append((c, 0))
+            parts[w] = [c for c, _ in out]
+    assert list(K.byte_pairs(words.items(), 400)) == want and len(want) > 100

@@ -82,3 +82,11 @@ def test_lines_are_numbered_and_zipped(spark, tmp_path):
 def test_vocabulary_ties_go_by_word(spark):
     df = spark.createDataFrame([(["b", "a", "c", "c"],)], "words array<string>")
     assert [(r.idx, r.word) for r in stats.vocabulary(df, 1).orderBy("idx").collect()] == [(0, "<unk>"), (1, "c"), (2, "a"), (3, "b")]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_merges_are_learnt_from_the_documents(spark):
+    got = catalogue.QUERIES["subword_merges"](spark, SF).toPandas()
+    first = catalogue.documents(spark, SF).selectExpr("explode(words) as w").selectExpr("explode(transform(sequence(1, greatest(length(w) - 1, 1)), i -> substr(w, i, 2))) as p").where("length(p) = 2").groupBy("p").count().orderBy(F.col("count").desc(), "p").first()
+    assert got["rank"].tolist() == list(range(len(got))) and len(got) > 1000 and (got.n.diff().dropna() <= 0).all()
+    assert (got.left[0] + got.right[0], got.n[0]) == (first.p, first["count"])
