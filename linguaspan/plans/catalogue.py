@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import text as X
 from ..operators import align, augment, clean, embed, evaluate, match, render, stats
-from ..runtime import ship
+from ..runtime import cut, ship
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -480,10 +480,11 @@ def acronyms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def negative_samples(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = stats.vocabulary(documents(spark, sf))
-    ids = stats.encode(passages(spark, sf).withColumnRenamed("item_id", "id"), vocab, "id")
+    docs = documents(spark, sf)
+    vocab = cut(stats.vocabulary(docs))
+    ids = stats.encode(docs.withColumnRenamed("doc_id", "id"), vocab, "id")
     rows = ids.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"].cast("int")).alias("words"))
-    return embed.negatives(embed.context_windows(rows, "id"), 1000, 5)
+    return embed.negatives(embed.context_windows(rows, "id"), vocab.count(), 5)
 
 
 @query()

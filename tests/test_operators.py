@@ -90,3 +90,12 @@ def test_merges_are_learnt_from_the_documents(spark):
     first = catalogue.documents(spark, SF).selectExpr("explode(words) as w").selectExpr("explode(transform(sequence(1, greatest(length(w) - 1, 1)), i -> substr(w, i, 2))) as p").where("length(p) = 2").groupBy("p").count().orderBy(F.col("count").desc(), "p").first()
     assert got["rank"].tolist() == list(range(len(got))) and len(got) > 1000 and (got.n.diff().dropna() <= 0).all()
     assert (got.left[0] + got.right[0], got.n[0]) == (first.p, first["count"])
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_negatives_come_from_the_whole_vocabulary(spark):
+    size = catalogue.QUERIES["vocab_build"](spark, SF).count()
+    words = catalogue.documents(spark, SF).selectExpr("sum(size(words)) as n").first().n
+    got = catalogue.QUERIES["negative_samples"](spark, SF)
+    r = got.selectExpr("min(array_min(negatives)) as a", "max(array_max(negatives)) as b", "count(distinct id, pos) as n", "count(if(arrays_overlap(negatives, context) or array_contains(negatives, centre), 1, null)) as bad").first()
+    assert (r.a, r.b, r.n, r.bad) == (1, size - 1, words, 0)
