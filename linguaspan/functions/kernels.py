@@ -312,10 +312,10 @@ def joined_features(words: Sequence[str], tags: Sequence[str], pieces: Sequence[
 
 
 def subsequences(word: str, least: int = 1, most: int = 2) -> list[str]:
-    """Ordered choices of `least` to `most` characters that begin with the first; for acronyms."""
+    """Ordered choices of `least` to `most` characters, for acronyms; as in the reference, single characters always, and the empty choice if least is 0."""
     from itertools import combinations
 
-    return sorted({word[0] + "".join(c) for k in range(max(least, 1), most + 1) for c in combinations(word[1:], k - 1)}) if word else []
+    return sorted({"".join(c) for k in {1, *range(max(least, 0), most + 1)} for c in combinations(word, k)})
 
 
 def word_diff(hyp: Sequence[str], ref: Sequence[str], colour: str = "red") -> str:

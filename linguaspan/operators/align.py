@@ -64,15 +64,25 @@ def masked(pairs: DataFrame, mark: str = "✖") -> DataFrame:
     return pairs.withColumn("m", f("src", "tgt")).select("pair_id", "m.*")
 
 
-def acronyms(words: DataFrame, least: int = 1, most: int = 2) -> DataFrame:
-    """(id, acronym): choices of `least` to `most` characters of each word, in order of the words, joined; words: (id, words)."""
-    ship(words.sparkSession)
+def acronyms(words: DataFrame, valid: DataFrame, least: int = 1, most: int = 2) -> DataFrame:
+    """(id, acronym): words of `valid` (word) that choices of `least` to `most` characters of each word, in order of the words, make; words: (id, words).
+
+    What begins no valid word is dropped at once. Every worker has the list and its prefixes.
+    """
+    spark = words.sparkSession
+    ship(spark)
+    known = spark.sparkContext.broadcast([r.word for r in valid.select(F.lower("word").alias("word")).distinct().collect()])
+    kept: list[set[str]] = []
 
     def every(ws: list[str]) -> list[str]:
-        out = {""}
+        if not kept:
+            kept.extend(({w[:i] for w in known.value for i in range(len(w) + 1)}, set(known.value)))
+        prefixes, whole = kept
+        reach = {""}
         for w in ws:
-            out = {a + s for a in out for s in K.subsequences(w.lower(), least, most)}
-        return sorted(out - {""})
+            choices = K.subsequences(w.lower(), least, most)
+            reach = {p for a in reach for s in choices if (p := a + s) in prefixes}
+        return sorted((reach & whole) - {""})
 
     return words.select("id", F.explode(K.arrow(lambda ws: every(list(ws)), "array<string>")("words")).alias("acronym"))
 

@@ -475,7 +475,7 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def acronyms(spark: SparkSession, sf: str) -> DataFrame:
-    return align.acronyms(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.tokens(F.col("p_name")).alias("words")), 1, 1)
+    return align.acronyms(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.tokens(F.col("p_name")).alias("words")), stats.vocabulary(documents(spark, sf)).where("idx > 0"), 1, 2)
 
 
 @query()

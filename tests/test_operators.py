@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from linguaspan.functions import kernels as K
 from linguaspan.functions import text as X
-from linguaspan.operators import augment, clean, evaluate, match, stats
+from linguaspan.operators import align, augment, clean, evaluate, match, stats
 from linguaspan.plans import catalogue
 from linguaspan.sources import lines as L
 
@@ -99,3 +100,11 @@ def test_negatives_come_from_the_whole_vocabulary(spark):
     got = catalogue.QUERIES["negative_samples"](spark, SF)
     r = got.selectExpr("min(array_min(negatives)) as a", "max(array_max(negatives)) as b", "count(distinct id, pos) as n", "count(if(arrays_overlap(negatives, context) or array_contains(negatives, centre), 1, null)) as bad").first()
     assert (r.a, r.b, r.n, r.bad) == (1, size - 1, words, 0)
+
+
+def test_acronyms_take_any_letters(spark):
+    words = spark.createDataFrame([(1, ["light", "amber"]), (2, ["Ox"])], "id int, words array<string>")
+    valid = spark.createDataFrame([(w,) for w in ("la", "Gab", "hama", "it", "x", "ox", "o", "lightam")], "word string")
+    assert {(r.id, r.acronym) for r in align.acronyms(words, valid).collect()} == {(1, "la"), (1, "gab"), (2, "x"), (2, "ox"), (2, "o")}
+    assert K.subsequences("abc", 2, 2) == ["a", "ab", "ac", "b", "bc", "c"] and K.subsequences("ab", 0, 1) == ["", "a", "b"]
+    assert [r.id for r in align.acronym_parts(words, "gab").collect()] == [1]
