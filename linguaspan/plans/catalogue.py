@@ -466,6 +466,12 @@ def context_windows(spark: SparkSession, sf: str) -> DataFrame:
     return embed.context_windows(passages(spark, sf), "item_id").withColumn("context", F.array_join("context", " "))
 
 
+@query()
+def context_windows_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The training corpus's windows; context_windows has those of the passages, as its SQL."""
+    return embed.context_windows(documents(spark, sf), "doc_id").withColumn("context", F.array_join("context", " "))
+
+
 @query("select label, d, round(avg(v::double), 6) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
 def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")

@@ -108,3 +108,11 @@ def test_acronyms_take_any_letters(spark):
     assert {(r.id, r.acronym) for r in align.acronyms(words, valid).collect()} == {(1, "la"), (1, "gab"), (2, "x"), (2, "ox"), (2, "o")}
     assert K.subsequences("abc", 2, 2) == ["a", "ab", "ac", "b", "bc", "c"] and K.subsequences("ab", 0, 1) == ["", "a", "b"]
     assert [r.id for r in align.acronym_parts(words, "gab").collect()] == [1]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_windows_of_all_documents(spark):
+    docs = catalogue.documents(spark, SF).where("words is not null").toPandas()
+    got = catalogue.QUERIES["context_windows_documents"](spark, SF).toPandas()
+    want = {(d, i): (w[i], " ".join([*w[max(i - 5, 0) : i], *w[i + 1 : i + 6]])) for d, w in zip(docs.doc_id, map(list, docs.words)) for i in range(len(w))}
+    assert len(got) == len(want) and dict(zip(zip(got.doc_id, got.pos), zip(got.centre, got.context))) == want
