@@ -286,12 +286,12 @@ def related_targets_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def phrase_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return align.phrase_pairs(token_pairs(spark, sf), 4)
+    return align.phrase_pairs(token_pairs(spark, sf), 7)
 
 
 @query()
 def phrase_table(spark: SparkSession, sf: str) -> DataFrame:
-    return align.phrase_table(part_pairs(spark, sf).withColumn("links", K.arrow(K.equal_links, "array<struct<s:int,t:int>>")("src", "tgt")), 3)
+    return align.phrase_table(token_pairs(spark, sf), 7)
 
 
 @query()

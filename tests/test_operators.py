@@ -116,3 +116,12 @@ def test_windows_of_all_documents(spark):
     got = catalogue.QUERIES["context_windows_documents"](spark, SF).toPandas()
     want = {(d, i): (w[i], " ".join([*w[max(i - 5, 0) : i], *w[i + 1 : i + 6]])) for d, w in zip(docs.doc_id, map(list, docs.words)) for i in range(len(w))}
     assert len(got) == len(want) and dict(zip(zip(got.doc_id, got.pos), zip(got.centre, got.context))) == want
+
+
+def test_phrases_are_of_up_to_seven_words(spark, monkeypatch):
+    pair = [(1, [*"abcdefgh"], [*"abcdefgh"], [(i, i) for i in range(8)])]
+    rows = spark.createDataFrame(pair, "pair_id int, src array<string>, tgt array<string>, links array<struct<s:int,t:int>>")
+    monkeypatch.setattr(catalogue, "token_pairs", lambda *_: rows)
+    for name in ("phrase_pairs", "phrase_table"):
+        got = {r.src_phrase for r in catalogue.QUERIES[name](spark, SF).collect()}
+        assert {"a b c d e f g", "b c d e f g h"} <= got and max(map(len, got)) == 13
