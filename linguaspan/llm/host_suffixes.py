@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ from .repeats import Part, anchored, at_hits, buckets_of, contexts, recurring, s
 from .textops import WHITE, mix, portions, word_hashes
 
 U = np.uint64
-HIDDEN = re.compile(rb"(?is)<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
+OPENER = re.compile(rb"(?i)<(?:(script|style|noscript|template|title)\b|!--)")
+CLOSER = re.compile(rb"(?i)</(script|style|noscript|template|title)\s*>|-->")
+KEY, SAMPLED_PAGES = 25, 20  # bytes of a sort key; pages a bucket that give keys for the splitters
 BLOCKS = [b"p", b"div", b"br", b"h1", b"h2", b"h3", b"h4", b"h5", b"h6", b"li", b"ul", b"ol", b"tr", b"td", b"th", b"table", b"article", b"section", b"header", b"footer", b"nav", b"main", b"aside", b"body", b"blockquote", b"pre", b"hr", b"dl", b"dt", b"dd", b"form"]
 
 
@@ -33,6 +36,36 @@ def host(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
+def visible(page: bytes) -> bytes:
+    """The page with a blank for each comment and each element that isn't shown. What is never closed hides nothing. One pass: closers are looked up by bisection."""
+    opener = OPENER.search(page)
+    if not opener:
+        return page
+    closers: dict[bytes, tuple[list[int], list[int]]] = {}
+    for m in CLOSER.finditer(page, opener.start()):
+        starts, ends = closers.setdefault((m[1] or b"").lower(), ([], []))
+        starts.append(m.start())
+        ends.append(m.end())
+    tag_ends = np.flatnonzero(np.frombuffer(page, np.uint8) == ord(">"))
+    out, at = [], 0
+    for m in OPENER.finditer(page):
+        if m.start() < at:
+            continue
+        name, inner = (m[1] or b"").lower(), m.end()
+        if name:
+            k = int(np.searchsorted(tag_ends, inner))
+            if k == len(tag_ends):
+                continue
+            inner = int(tag_ends[k]) + 1
+        starts, ends = closers.get(name, ([], []))
+        k = bisect_left(starts, inner)
+        if k < len(starts):
+            out.append(page[at : m.start()])
+            at = ends[k]
+    out.append(page[at:])
+    return b" ".join(out)
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of words and tag names (`<name`, `</name`), which of them are tags, and their number before each page."""
     n = len(data)
@@ -70,7 +103,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def read_pages(batch: pa.RecordBatch) -> Iterator[Part]:
     """Parts whose salt is the host's hash; a part also has the attributes tag and, as stream, a hash of each page's tokens."""
-    pages = [HIDDEN.sub(b" ", (h or "").encode()) for h in batch.column("html").to_pylist()]
+    pages = [visible((h or "").encode()) for h in batch.column("html").to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
     hosts = [host(u).encode() for u in batch.column("url").to_pylist()]
     sizes = np.array([len(h) for h in hosts], np.int64)
@@ -97,8 +130,8 @@ def boilerplate(pages: DataFrame, min_tokens: int = 16, **limits: int) -> DataFr
     width = (back + min_tokens) * 4
     shared = recurring(pages, read_pages, length)
 
-    def emit(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        """Each partition sends equal stretches of a host once, with the least and the greatest of their pages' streams."""
+    def emit(parts: Iterator[tuple], splitters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Each partition sends equal stretches of a host once, with the least and the greatest of their pages' streams; without splitters, a share of the keys."""
         held: list[tuple] = []
 
         def merged() -> tuple:
@@ -124,20 +157,30 @@ def boilerplate(pages: DataFrame, min_tokens: int = 16, **limits: int) -> DataFr
             c = _open(stretch, width)
             for lo in range(0, len(c), 1 << 16):
                 k = slice(lo, lo + (1 << 16))
-                lead = (c[k, back].astype(np.int64) << 31) | (c[k, back + 1] >> 1)
-                yield pa.record_batch([pa.array(salt[k].view(np.int64)), pa.array(lead), pa.array([x.tobytes() for x in c[k]], pa.binary()), pa.array(low[k]), pa.array(high[k])], names=["salt", "lead", "context", "low", "high"])
-
-    stretches = cut(at_hits(pages, read_pages, anchored(length), shared, emit, "salt bigint, lead bigint, context binary, low bigint, high bigint", **limits))
-    ranged = stretches.repartitionByRange(buckets_of(pages), "salt", "lead", "low")
+                key = _keys(salt[k], c[k, back : back + 2], low[k])
+                if splitters is None:
+                    yield pa.record_batch([pa.array([x.tobytes() for x in key[low[k] % 16 == 0]], pa.binary())], names=["key"])
+                else:
+                    where = pa.array(np.searchsorted(splitters, key).astype(np.int32))
+                    yield pa.record_batch([where, pa.array(salt[k].view(np.int64)), pa.array([x.tobytes() for x in c[k]], pa.binary()), pa.array(low[k]), pa.array(high[k])], names=["bucket", "salt", "context", "low", "high"])
+
+    # splitters come from the pages' own keys; they say where a suffix is sorted, never whether
+    buckets = buckets_of(pages)
+    some = pages.sample(min(1.0, SAMPLED_PAGES * buckets / max(1, pages.count())), 11)
+    keys = np.sort(np.array([r["key"] for r in at_hits(some, read_pages, anchored(length), shared, lambda parts: emit(parts, None), "key binary", **limits).collect()], f"S{KEY}"))
+    splitters = pages.sparkSession.sparkContext.broadcast(keys[np.arange(1, buckets) * len(keys) // buckets] if len(keys) else keys)  # fewer than there are buckets
+    stretches = at_hits(pages, read_pages, anchored(length), shared, lambda parts: emit(parts, splitters.value), "bucket int, salt bigint, context binary, low bigint, high bigint", **limits)
+    ranged = stretches.repartitionById(buckets, "bucket")
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not sum(b.num_rows for b in batches):
             return
         table = pa.Table.from_batches(batches)
-        salt, lead, low, high = (np.asarray(table.column(c)) for c in ("salt", "lead", "low", "high"))
+        salt, low, high = (np.asarray(table.column(c)) for c in ("salt", "low", "high"))
         c = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint32).reshape(len(salt), -1)
-        order = np.lexsort((lead, salt))
+        lead = (c[:, back].astype(np.uint64) << U(32)) | c[:, back + 1]
+        order = np.lexsort((lead, salt.view(np.uint64)))
         edge = np.zeros(len(salt), bool)
         for e in order[[0, -1]]:
             edge |= (salt == salt[e]) & (lead == lead[e])
@@ -156,6 +199,12 @@ def boilerplate(pages: DataFrame, min_tokens: int = 16, **limits: int) -> DataFr
     return cut(found.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h"))
 
 
+def _keys(salt: np.ndarray, lead: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(host, two leading tokens, stream) as byte strings whose order is that of the suffixes; they end in a byte that isn't 0."""
+    parts = [salt.astype(">u8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(lead).astype(">u4").view(np.uint8).reshape(-1, 8), low.view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), np.ones((len(salt), 1), np.uint8)]
+    return np.ascontiguousarray(np.concatenate(parts, axis=1)).view(f"S{KEY}").ravel()
+
+
 def _cells(c: np.ndarray) -> np.ndarray:
     """Rows as byte strings; a last byte that isn't 0 keeps the zeros before it."""
     raw = np.ascontiguousarray(c.astype(">u4")).view(np.uint8)
