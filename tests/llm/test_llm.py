@@ -160,21 +160,6 @@ def test_languages_by_held_out_accuracy(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-def test_neighbours_recall(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 16)).astype(np.float32)
-    x[5], x[9] = x[4], 0
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(700, None, 1), (None, x[0].tolist(), 1), (701, [], 1), (702, [1.0, 2.0], 1), (5, x[5].tolist(), 1)]
-    got = collision_ann.neighbours(spark.createDataFrame([r[:2] for r in rows], "vec_id bigint, embedding array<float>"), 5, 128).toPandas()
-    ids = [i for i in range(600) if i != 9]
-    y = x[ids] / np.linalg.norm(x[ids], axis=1, keepdims=True)
-    s = y @ y.T
-    np.fill_diagonal(s, -9)
-    near = got.groupby("vec_id").neighbour_id.apply(set)
-    assert np.mean([len(near[i] & {ids[k] for k in np.argsort(-row)[:5]}) / 5 for i, row in zip(ids, s)]) >= 0.9
-    assert set(got.vec_id) == set(ids)
-
-
 def test_pages_keep_unique_runs(spark):
     rng = random.Random(4)
     nav = "".join(f"<li><a href='/{k}'>menu{k}</a></li>" for k in range(12))
