@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import collision_ann, host_suffixes, language_id, line_quality, mixing, phrase_automata, pieces, sharding, signature_trees, suffix_dedup
 
 WORDS = "[x for x in string_split_regex(text, '[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F]+') if x <> '']"
-THRESHOLD, GRAM, BANDS, ROWS = 0.5, 3, 16, 2
+THRESHOLD, GRAM, BANDS, ROWS = 0.5, 3, 32, 2
 MIN_WORDS = 50
 SEED, SHARDS, ALPHA, BLOCK_TOKENS, SHARD_BLOCKS = 17, 64, 0.8, 512, 100
 
@@ -35,7 +35,7 @@ def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signature_trees.similar(_docs(spark, sf_dir), THRESHOLD, GRAM, BANDS, ROWS)
+    return signature_trees.classes(_docs(spark, sf_dir), THRESHOLD, GRAM, BANDS, ROWS)
 
 
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +126,20 @@ with {WINDOWS_SQL}, flagged as (select distinct doc_id, s, doc_id = home as firs
 select doc_id, min(s)::int as start_word, (max(s) + {MIN_WORDS})::int as end_word, first_copy from grouped group by doc_id, first_copy, island"""
 
 JACCARD_SQL = rf"""
-with w as (select doc_id, {WORDS} as ws from documents where doc_id is not null and text is not null),
+with recursive w as (select doc_id, {WORDS} as ws from documents where doc_id is not null and text is not null),
 g as (select doc_id, unnest(case when len(ws) >= {GRAM} then [array_to_string(ws[p : p + {GRAM - 1}], ' ') for p in range(1, len(ws) - {GRAM - 2})] else [array_to_string(ws, ' ')] end) as gram from w where len(ws) > 0),
 d as (select distinct doc_id, gram from g),
 sets as (select doc_id, count(*) as size, md5(string_agg(gram, '|' order by gram)) as id from d group by doc_id),
 low as (select id, min(doc_id) as doc_id, any_value(size) as size from sets group by id),
 rep as (select doc_id, gram from d semi join low using (doc_id)),
 common as (select a.doc_id as x, b.doc_id as y, count(*) as n from rep a join rep b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
-pairs as (select x, y, n / (p.size + q.size - n) as j from common join low p on p.doc_id = x join low q on q.doc_id = y)
-select x as doc_id_a, y as doc_id_b, round(j, 6) as jaccard from pairs where j >= {THRESHOLD}
-union all select low.doc_id, sets.doc_id, 1.0 from sets join low using (id) where sets.doc_id <> low.doc_id"""
+pairs as (select x, y from common join low p on p.doc_id = x join low q on q.doc_id = y where n / (p.size + q.size - n) >= {THRESHOLD}),
+links as (select x, y from pairs union all select y, x from pairs),
+walk as (select x as node, x as seen from links union select walk.node, links.y from walk join links on links.x = walk.seen),
+class as (select node, min(seen) as class_id from walk group by node),
+number as (select x, count(*) as n_links from links group by x),
+copies as (select id, count(*) - 1 as n_copies from sets group by id)
+select sets.doc_id, coalesce(class_id, low.doc_id) as class_id, coalesce(n_links, 0)::bigint as n_links, n_copies::bigint as n_copies
+from sets join low using (id) join copies using (id) left join class on class.node = low.doc_id left join number on number.x = low.doc_id where n_links > 0 or n_copies > 0"""
 
 ORACLE = {"op2_feistel_shards": SHUFFLE_SQL, "op3_source_mixture": MIXTURE_SQL, "op4_repeated_phrases": PHRASES_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op9_suffix_repeats": SUFFIX_SQL}

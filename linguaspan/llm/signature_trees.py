@@ -7,12 +7,15 @@ are walked together: a pair of nodes is dropped when the sizes are too far apart
 the common bits plus the collisions, is less than the threshold needs. Surviving leaf pairs are verified on the sets.
 
 So that the work is spread and no tree holds the corpus, sets are dealt to trees by min-hashes: `bands` keys of `rows` minima
-each. Two sets of Jaccard j meet in a tree with probability 1 - (1 - j**rows)**bands, 0.9988 at j = 0.7 with
-the defaults; the walk itself loses nothing. A pair is handled in the first tree in which it meets.
+each. Two sets of Jaccard j meet in a tree with probability 1 - (1 - j**rows)**bands, 0.9999 at j = 0.5 with
+the defaults; the walk itself loses nothing. What the walks leave connects sets to clusters. A cluster's sets then stand in one tree
+with their n-grams, each pair in one place, and are verified; a tree too large for a task is cut into blocks, and pairs of trees are walked.
+No pair is ever sent anywhere: a tree gives stars and numbers of links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,8 @@ from ..runtime import cut, pick, ship
 from .textops import gram_hashes, inside, mix, plain, portions, utf8, word_hashes, words
 
 U = np.uint64
-BITS, FAN, FRONTIER = 4, 8, 1 << 20
+BITS, FAN, FRONTIER, HOT_BITS = 4, 8, 1 << 20, 2048
+BROADCAST_BYTES = 1 << 24
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,117 +89,177 @@ class Tree:
         lost = sizes - np.bitwise_count(bitmaps).sum(axis=1)
         self.levels = [(bitmaps, sizes, sizes, lost)]
         while len(bitmaps) > 1:
-            at = np.arange(0, len(bitmaps), FAN)
-            lo, hi = self.levels[-1][1], self.levels[-1][2]
-            bitmaps, lost = np.bitwise_or.reduceat(bitmaps, at, axis=0), np.maximum.reduceat(lost, at)
-            self.levels.append((bitmaps, np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), lost))
-
-    def survivors(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves i < j that could reach the threshold, by a walk of the tree with itself; what waits is kept in pieces."""
-        top = len(self.levels) - 1
-        wait = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        while wait:
-            level, i, j = wait.pop()
-            if len(i) > FRONTIER:
-                wait += [(level, i[k : k + FRONTIER], j[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
-                continue
-            bitmap, lo, hi, lost = self.levels[level]
-            ok = np.minimum(hi[i], hi[j]) >= threshold * np.maximum(lo[i], lo[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            common = np.empty(len(i), np.int64)
-            step = max(1, (1 << 22) // bitmap.shape[1])
-            for k in range(0, len(i), step):
-                common[k : k + step] = np.bitwise_count(bitmap[i[k : k + step]] & bitmap[j[k : k + step]]).sum(axis=1)
-            most = np.minimum(common + np.minimum(lost[i], lost[j]), np.minimum(hi[i], hi[j]))
-            ok = most * (1 + threshold) >= threshold * (lo[i] + lo[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            if level == 0:
-                ok = i < j
-                yield i[ok], j[ok]
-                continue
-            n = len(self.levels[level - 1][1])
-            ci = (i[:, None, None] * FAN + np.arange(FAN)[:, None]).repeat(FAN, 2).ravel()
-            cj = (j[:, None, None] * FAN + np.arange(FAN)).repeat(FAN, 1).ravel()
-            ok = (ci <= cj) & (cj < n) & (ci < n)
-            wait.append((level - 1, ci[ok], cj[ok]))
-
-
-def _fold(bitmap: np.ndarray, width: int) -> np.ndarray:
-    """Signatures of a smaller width, by OR of their parts."""
-    return np.bitwise_or.reduce(bitmap.reshape(len(bitmap), -1, width), axis=1)
-
-
-def tree_pairs(sizes: np.ndarray, signatures: list[bytes], keys: np.ndarray, band: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets of one tree that could reach the threshold and share no earlier band. Signature widths differ by a step at most in such a pair, if the threshold is over a half."""
-    widths = np.array([len(s) for s in signatures])
+            self.grow()
+            bitmaps = self.levels[-1][0]
+
+    def grow(self) -> None:
+        bitmaps, lo, hi, lost = self.levels[-1]
+        at = np.arange(0, len(bitmaps), FAN)
+        self.levels.append((np.bitwise_or.reduceat(bitmaps, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(lost, at)))
+
+
+def dual_walk(one: Tree, two: Tree, threshold: float, tested: dict[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a leaf of one tree and one of the other (i < j, if it is the same tree) that could reach the threshold; what waits is kept in pieces.
+
+    tested: gets the number of node pairs whose bound was computed, by level from the leaves up.
+    """
+    same = one is two
+    for short, long in ((one, two), (two, one)):
+        while len(short.levels) < len(long.levels):
+            short.grow()  # a root over the root: both are walked level by level
+    top = len(one.levels) - 1
+    wait = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while wait:
+        level, i, j = wait.pop()
+        if len(i) > FRONTIER:
+            wait += [(level, i[k : k + FRONTIER], j[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
+            continue
+        (bits1, lo1, hi1, lost1), (bits2, lo2, hi2, lost2) = one.levels[level], two.levels[level]
+        ok = (hi1[i] >= threshold * lo2[j] - 1e-9) & (hi2[j] >= threshold * lo1[i] - 1e-9)
+        if same and level == 0:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        if tested is not None:
+            tested[level] = tested.get(level, 0) + len(i)
+        common = np.empty(len(i), np.int64)
+        step = max(1, (1 << 22) // (8 * bits1.shape[1]))
+        for k in range(0, len(i), step):
+            common[k : k + step] = np.bitwise_count(bits1[i[k : k + step]] & bits2[j[k : k + step]]).sum(axis=1)
+        most = np.minimum(common + np.minimum(lost1[i], lost2[j]), np.minimum(hi1[i], hi2[j]))
+        ok = most * (1 + threshold) >= threshold * (lo1[i] + lo2[j]) - 1e-9
+        i, j = i[ok], j[ok]
+        if level == 0:
+            yield i, j
+            continue
+        ci = (i[:, None, None] * FAN + np.arange(FAN)[:, None]).repeat(FAN, 2).ravel()
+        cj = (j[:, None, None] * FAN + np.arange(FAN)).repeat(FAN, 1).ravel()
+        ok = (ci < len(one.levels[level - 1][1])) & (cj < len(two.levels[level - 1][1]))
+        if same:
+            ok &= ci <= cj
+        wait.append((level - 1, ci[ok], cj[ok]))
+
+
+def _fold(marks: list[bytes], at: np.ndarray, widths: np.ndarray, width: int) -> np.ndarray:
+    """Some signatures, those that are wider made narrower by OR of their parts."""
+    rows = np.empty((len(at), width // 8), np.uint64)
+    for w in np.unique(widths[at]).tolist():
+        mine = np.flatnonzero(widths[at] == w)
+        rows[mine] = np.bitwise_or.reduce(np.frombuffer(b"".join(marks[k] for k in at[mine]), np.uint64).reshape(len(mine), -1, width // 8), axis=1)
+    return rows
+
+
+def unit_pairs(sizes: np.ndarray, marks: list[bytes], rank: np.ndarray, side: np.ndarray, threshold: float, tested: dict[int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that could reach the threshold: of one tree, if all sides are 0, or of two, those of sides 1 and 2. rank: [sets, .], brings similar sets together.
+
+    Signatures of a pair can differ in width by a power of two or a few, as sizes may; each width has its trees, of the sets of this width and those that reach it.
+    """
+    widths = np.array([len(m) for m in marks])
+    most = 2 ** (1 + int(np.ceil(-np.log2(threshold))))
     for width in np.unique(widths).tolist():
-        reach = np.flatnonzero((widths >= width) & (widths <= width * max(2, 2 ** int(np.ceil(-np.log2(threshold))))))
-        order = reach[np.lexsort([*keys[reach].T, sizes[reach]])] if len(reach) > 2 else reach
-        if len(order) < 2:
+        reach = np.flatnonzero((widths >= width) & (widths <= width * most))
+        order = reach[np.lexsort([*rank[reach].T[::-1]])]
+        parts = [order[side[order] == x] for x in ((1, 2) if side.any() else (0,))]
+        if not all(len(x) for x in parts) or len(order) < 2:
             continue
-        rows = np.stack([_fold(np.frombuffer(signatures[i], np.uint8)[None], width)[0] for i in order])
-        own = widths[order] == width
-        for i, j in Tree(rows.view(np.uint64), sizes[order]).survivors(threshold):
-            ok = own[i] | own[j]  # else both are wider: their own turn comes
-            a, b = order[i[ok]], order[j[ok]]
-            if band:
-                ok = ~(keys[a, :band] == keys[b, :band]).any(axis=1)
-                a, b = a[ok], b[ok]
-            yield a, b
-
-
-def few_pairs(sizes: np.ndarray, signatures: list[bytes], keys: np.ndarray, band: np.ndarray, order: np.ndarray, heads: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The surviving pairs of all trees of FAN leaves at most, by the same bound; trees are stretches of `order`."""
-    parts = [np.zeros((2, 0), np.int64)]
+        grown = [Tree(_fold(marks, x, widths, width), sizes[x]) for x in parts]
+        for i, j in dual_walk(grown[0], grown[-1], threshold, tested):
+            x, y = parts[0][i], parts[-1][j]
+            ok = (widths[x] == width) | (widths[y] == width)  # else both are wider: their own turn comes
+            yield x[ok], y[ok]
+
+
+def few_pairs(sizes: np.ndarray, marks: list[bytes], heads: np.ndarray, count: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The surviving pairs of many units of FAN sets at most, whose root has leaves only, together: by the same bound."""
+    widths = np.array([len(m) for m in marks])
     for n in range(2, FAN + 1):
-        h = heads[count == n]
         i, j = np.triu_indices(n, 1)
-        parts.append(np.stack([order[h[:, None] + i].ravel(), order[h[:, None] + j].ravel()]))
-    a, b = np.concatenate(parts, axis=1)
-    ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-    a, b = a[ok], b[ok]
-    earlier = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < band[a][:, None])
-    ok = ~earlier.any(axis=1)
-    a, b = a[ok], b[ok]
-    widths = np.array([len(s) for s in signatures])
-    narrow = np.minimum(widths[a], widths[b])
-    keep = np.zeros(len(a), bool)
-    for width in np.unique(narrow).tolist():
-        at = np.flatnonzero(narrow == width)
-        used, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
-        rows = np.empty((len(used), width // 8), np.uint64)
-        for w in np.unique(widths[used]).tolist():
-            mine = np.flatnonzero(widths[used] == w)
-            rows[mine] = _fold(np.frombuffer(b"".join(signatures[k] for k in used[mine]), np.uint8).reshape(len(mine), w), width).view(np.uint64)
-        lost = sizes[used] - np.bitwise_count(rows).sum(axis=1)
-        x, y = place[: len(at)], place[len(at) :]
-        for lo in range(0, len(at), max(1, (1 << 22) // width)):
-            k = slice(lo, lo + max(1, (1 << 22) // width))
-            common = np.bitwise_count(rows[x[k]] & rows[y[k]]).sum(axis=1).astype(np.int64)
-            most = np.minimum(common + np.minimum(lost[x[k]], lost[y[k]]), np.minimum(sizes[a[at[k]]], sizes[b[at[k]]]))
-            keep[at[k]] = most * (1 + threshold) >= threshold * (sizes[a[at[k]]] + sizes[b[at[k]]]) - 1e-9
-    return a[keep], b[keep]
+        for lo in range(0, int((count == n).sum()), 1 << 15):
+            h = heads[count == n][lo : lo + (1 << 15)]
+            a, b = (h[:, None] + i).ravel(), (h[:, None] + j).ravel()
+            ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+            a, b = a[ok], b[ok]
+            narrow = np.minimum(widths[a], widths[b])
+            for width in np.unique(narrow).tolist():
+                x, y = a[narrow == width], b[narrow == width]
+                used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                rows = _fold(marks, used, widths, width)
+                lost = sizes[used] - np.bitwise_count(rows).sum(axis=1)
+                p, q = place[: len(x)], place[len(x) :]
+                common = np.concatenate([np.zeros(0, np.int64), *[np.bitwise_count(rows[p[k : k + step]] & rows[q[k : k + step]]).sum(axis=1) for step in [max(1, (1 << 22) // width)] for k in range(0, len(p), step)]])
+                most = np.minimum(common + np.minimum(lost[p], lost[q]), np.minimum(sizes[x], sizes[y]))
+                ok = most * (1 + threshold) >= threshold * (sizes[x] + sizes[y]) - 1e-9
+                yield x[ok], y[ok]
 
 
 def exact(grams: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard of pairs of sets."""
-    out = np.empty(len(a))
-    order = np.argsort(a, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]])) if len(a) else np.zeros(0, np.int64)
+    """Jaccard of pairs of sets. Where there are many pairs, the n-grams that most sets have get a bit each and are compared as bitmaps without collisions."""
     size = np.diff(bounds)
-    for h, t in zip(heads, np.append(heads[1:], len(a))):
-        pairs = order[h:t]
-        one = grams[bounds[a[pairs[0]]] : bounds[a[pairs[0]] + 1]]
-        for lo in range(0, len(pairs), 256):
-            p = pairs[lo : lo + 256]
-            n = size[b[p]]
+    common = np.zeros(len(a), np.int64)
+    if len(a) > 4 * len(size):
+        known, code, df = np.unique(grams, return_inverse=True, return_counts=True)
+        hot = np.argsort(-df, kind="stable")[:HOT_BITS]
+        bit = np.full(len(known), -1)
+        bit[hot] = np.arange(len(hot))
+        owner = np.repeat(np.arange(len(size)), size)
+        place = bit[code]
+        table = np.zeros((len(size), HOT_BITS), bool)
+        table[owner[place >= 0], place[place >= 0]] = True
+        rows = np.packbits(table, axis=1).view(np.uint64)
+        for k in range(0, len(a), 1 << 15):
+            common[k : k + (1 << 15)] = np.bitwise_count(rows[a[k : k + (1 << 15)]] & rows[b[k : k + (1 << 15)]]).sum(axis=1)
+        rest = (place < 0) & (df[code] > 1)  # an n-gram of one set alone is common to no pair
+        grams, owner = grams[rest], owner[rest]
+        bounds = np.searchsorted(owner, np.arange(len(size) + 1))
+    left = np.diff(bounds)
+    todo = np.flatnonzero((left[a] > 0) & (left[b] > 0))
+    todo = todo[np.argsort(a[todo], kind="stable")]
+    heads = np.flatnonzero(np.concatenate([[True], a[todo][1:] != a[todo][:-1]])) if len(todo) else np.zeros(0, np.int64)
+    for h, t in zip(heads, np.append(heads[1:], len(todo))):
+        one = grams[bounds[a[todo[h]]] : bounds[a[todo[h]] + 1]]
+        for lo in range(h, t, 256):
+            p = todo[lo : min(t, lo + 256)]
+            n = left[b[p]]
             first = np.cumsum(n) - n
             other = grams[np.repeat(bounds[b[p]] - first, n) + np.arange(int(n.sum()))]
             place = np.searchsorted(one, other)
-            hit = one[np.minimum(place, len(one) - 1)] == other
-            common = np.add.reduceat(hit.astype(np.int64), first)
-            out[p] = common / (len(one) + n - common)
-    return out
+            common[p] += np.add.reduceat((one[np.minimum(place, len(one) - 1)] == other).astype(np.int64), first)
+    return common / (size[a] + size[b] - common)
+
+
+def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n things the least of those that the pairs connect it with."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole units, from batches that are sorted by unit: no unit spans two tables, and a table is little more than a batch or a unit."""
+    held: list[pa.Table] = []
+    open_unit = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table, units = pa.Table.from_batches([batch]), batch.column("unit").to_numpy()
+        if held and open_unit != units[0]:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        earlier = np.flatnonzero(units != units[-1])
+        if len(earlier):
+            yield pa.concat_tables([*held, table.slice(0, earlier[-1] + 1)]).combine_chunks()
+            held = []
+        held.append(table.slice(earlier[-1] + 1 if len(earlier) else 0))
+        open_unit = units[-1]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def _members(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -221,127 +285,157 @@ def _members(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, set1 bigint, set2 bigint, size bigint, signature binary, keys array<bigint>")
 
 
-def _joined(docs: DataFrame, threshold: float, n: int, bands: int, rows: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
-    """Copies (doc_id_a, doc_id_b: the lowest doc_id of an equal set) and pairs of unequal sets (by their lowest doc_ids, with jaccard)."""
+def _units(rows: DataFrame, group: str, most: int, threshold: float) -> DataFrame:
+    """rows with (unit, side, several): a group whose load is `most` at most is one unit; of a larger one the blocks meet pair by pair, a unit for each pair.
+
+    Blocks are of one size class (powers of two), and only classes whose sizes can reach the threshold meet. So no group is one task, and no pair of sets is lost.
+    """
+    parts = F.ceil(F.col("load") / most).cast("int")
+    reach = 1 + math.ceil(-math.log2(threshold) - 1e-9)
+    meets = F.when(parts <= 1, F.array(F.struct(F.lit(0).alias("d"), F.lit(0).alias("p")))).otherwise(
+        F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(d.alias("d"), p.alias("p")))))
+    )
+    rows = rows.withColumns({"several": parts > 1, "_own": F.floor(F.log2("size")).cast("int"), "_spot": F.pmod(F.xxhash64("set1", "set2"), parts).cast("int"), "_meet": F.explode(meets)})
+    mine, other = F.struct(F.col("_own").alias("c"), F.col("_spot").alias("p")), F.struct((F.col("_own") + F.col("_meet.d")).alias("c"), F.col("_meet.p").alias("p"))
+    pair = F.xxhash64(group, F.least(mine, other), F.greatest(mine, other))
+    return rows.withColumns({"unit": F.when(F.col("several"), pair).otherwise(F.xxhash64(group)), "side": F.when(~F.col("several") | (mine == other), 0).when(mine < other, 1).otherwise(2)})
+
+
+def _parts(units: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and number of rows of each unit, and whether it is small: one side, FAN sets at most."""
+    heads = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+    count = np.diff(np.append(heads, len(units)))
+    return heads, count, (count <= FAN) & (np.maximum.reduceat(side, heads) == 0)
+
+
+def _walked(units: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id_a, doc_id_b): star edges that connect the sets of a unit (unit, side, id, size, signature) which could reach the threshold with each other."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_units(batches):
+            unit, side, ids, sizes, one, two = (np.asarray(t.column(c)) for c in ("unit", "side", "id", "size", "rank1", "rank2"))
+            marks, rank = t.column("signature").to_pylist(), np.column_stack([one, two, sizes])
+            heads, count, small = _parts(unit, side)
+
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                yield from few_pairs(sizes, marks, heads[small], count[small], threshold)
+                for h, n in zip(heads[~small].tolist(), count[~small].tolist()):
+                    for i, j in unit_pairs(sizes[h : h + n], marks[h : h + n], rank[h : h + n], side[h : h + n], threshold):
+                        yield h + i, h + j
+
+            root = roots(len(ids), found())
+            at = np.flatnonzero(ids[root] != ids)
+            yield pa.record_batch([pa.array(ids[root[at]]), pa.array(ids[at])], names=["doc_id_a", "doc_id_b"])
+
+    return units.select("unit", "side", "id", "size", "rank1", "rank2", "signature").repartition("unit").sortWithinPartitions("unit").mapInArrow(walk, "doc_id_a bigint, doc_id_b bigint")
+
+
+def _verified(units: DataFrame, threshold: float) -> DataFrame:
+    """(set1, set2, id, root, links, several) of each set of a unit (unit, side, set1, set2, id, grams): how many sets it is linked with there, and the least id that links reach."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_units(batches):
+            unit, side, one, two, ids = (np.asarray(t.column(c)) for c in ("unit", "side", "set1", "set2", "id"))
+            order = np.lexsort((two, one, ids, unit))  # by id, so that the least row is the least id; a row that repeats another goes
+            order = order[np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (unit, one, two)], axis=0)])]
+            unit, side, one, two, ids = (x[order] for x in (unit, side, one, two, ids))
+            cells = t.column("grams").to_pylist()
+            sets = [np.frombuffer(cells[k], np.uint64) for k in order.tolist()]
+            sizes = np.array([len(x) for x in sets])
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            flat = np.concatenate(sets)
+            marks = [signature(x, w) for x, w in zip(sets, width_of(sizes).tolist())]
+            heads, count, small = _parts(unit, side)
+            links = np.zeros(len(unit), np.int64)
+
+            def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                again = np.flatnonzero((unit[1:] == unit[:-1]) & (ids[1:] == ids[:-1]))
+                yield again, again + 1  # sets of one document
+                jobs = [(0, len(unit), few_pairs(sizes, marks, heads[small], count[small], threshold))]
+                jobs += [(h, h + n, unit_pairs(sizes[h : h + n], marks[h : h + n], band_keys(flat[bounds[h] : bounds[h + n]], bounds[h : h + n + 1] - bounds[h], 3, 1), side[h : h + n], threshold)) for h, n in zip(heads[~small].tolist(), count[~small].tolist())]
+                for lo, hi, pairs in jobs:
+                    for a, b in pairs:
+                        for k in range(0, len(a), FRONTIER):
+                            x, y = a[k : k + FRONTIER], b[k : k + FRONTIER]
+                            ok = exact(flat[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], x, y) >= threshold
+                            x, y = lo + x[ok], lo + y[ok]
+                            links[:] += np.bincount(x, minlength=len(links)) + np.bincount(y, minlength=len(links))
+                            yield x, y
+
+            root = roots(len(unit), linked())
+            several = np.asarray(t.column("several"))[order]
+            yield pa.record_batch([pa.array(x) for x in (one, two, ids, ids[root], links, several)], names=["set1", "set2", "id", "root", "links", "several"])
+
+    return units.select("unit", "side", "set1", "set2", "id", "grams", "several").repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "set1 bigint, set2 bigint, id bigint, root bigint, links bigint, several boolean")
+
+
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if it is counted and found to take BROADCAST_BYTES at most; joined by Spark's choice otherwise."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def classes(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 32, rows: int = 2, group_sets: int = 4096, group_grams: int = 1 << 21) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of each document that has a link or a copy; one that is alone in its class has no row.
+
+    Two documents are linked if the Jaccard coefficient of their word n-gram sets is `threshold` at least. A class is what links and copies connect; class_id is
+    its lowest doc_id. n_links is the number of different sets, other than the document's own, that it is linked with; n_copies that of other
+    documents with an equal set. So the result grows with the documents, not with their pairs, and yet every link between different texts counts.
+    A text of fewer than n words is one gram; a text without words, a null text and a null doc_id have no links. Rows of one doc_id are one
+    document: its numbers are the sums over its different sets, its class is one; rows that repeat another add nothing. An empty table gives no row. Other
+    columns, whatever their names, are ignored. A coefficient equal to the threshold links. Texts are used whole. group_sets and group_grams say how much a task compares at a time; they
+    change no row.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and 1 at most")
     ship(docs.sparkSession)
     texts = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    members = _members(texts, n, bands, rows)
+    members = cut(_members(texts, n, bands, rows))
     light = members.select("doc_id", "set1", "set2").distinct()
-    # a doc_id's set is its least one, in case its rows differ
-    low = light.groupBy("set1", "set2").agg(F.min("doc_id").alias("doc_id_a"), F.count("*").alias("copies"))
-    copies = light.join(low.where("copies > 1").select("set1", "set2", "doc_id_a"), ["set1", "set2"]).where("doc_id <> doc_id_a").select("doc_id_a", F.col("doc_id").alias("doc_id_b")).distinct()
+    low = light.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), (F.count("*") - 1).alias("n_copies"))
     sets = cut(members.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("keys").alias("keys")))
     # only keys that two sets have are worth a tree
-    each = sets.select("set1", "set2", F.posexplode("keys").alias("band", "key"))
-    met = each.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    trees = each.join(met, ["band", "key"]).join(sets.select("set1", "set2", "id", "size", "signature", "keys"), ["set1", "set2"])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All trees of a partition: large ones by a walk of their levels; those of few leaves, where a root has only leaves, together."""
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        t = pa.Table.from_batches(batches)
-        band, key, one, two, ids, sizes = (np.asarray(t.column(c)) for c in ("band", "key", "set1", "set2", "id", "size"))
-        marks = t.column("signature").to_pylist()
-        keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
-        order = np.lexsort((one, ids, key, band))
-        heads = np.flatnonzero(np.concatenate([[True], (band[order][1:] != band[order][:-1]) | (key[order][1:] != key[order][:-1])]))
-        count = np.diff(np.append(heads, len(order)))
-        found = [few_pairs(sizes, marks, keys, band, order, heads, count, threshold)]
-        for h, n in zip(heads[count > FAN].tolist(), count[count > FAN].tolist()):
-            own = order[h : h + n]
-            found += [(own[i], own[j]) for i, j in tree_pairs(sizes[own], [marks[i] for i in own], keys[own], int(band[own[0]]), threshold)]
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        swap = (ids[a] > ids[b]) | ((ids[a] == ids[b]) & (one[a] > one[b]))
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        for lo in range(0, len(a), 1 << 16):
-            x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-            yield pa.record_batch([pa.array(v) for v in (key[x], one[x], two[x], ids[x], one[y], two[y], ids[y])], names=["tree", "a1", "a2", "id_a", "b1", "b2", "id_b"])
-
-    pair_type = "tree bigint, a1 bigint, a2 bigint, id_a bigint, b1 bigint, b2 bigint, id_b bigint"
-    likely = cut(trees.repartition("band", "key").mapInArrow(walk, pair_type))
-    wanted = likely.select("tree", F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("id_a").alias("doc_id")).unionByName(likely.select("tree", F.col("b1").alias("s1"), F.col("b2").alias("s2"), F.col("id_b").alias("doc_id")))
-    wanted = wanted.distinct().groupBy("doc_id").agg(F.collect_set("s1").alias("s1"), F.collect_set("tree").alias("trees"))
-    source = texts.join(wanted, "doc_id")  # only the texts of sets that pairs need go on
+    each = sets.select("set1", "set2", F.explode("keys").alias("key"))
+    met = each.groupBy("key").agg(F.count("*").alias("load")).where("load > 1")
+    heavy = sets.select("set1", "set2", "id", "size", "signature", F.get("keys", F.lit(0)).alias("rank1"), F.get("keys", F.lit(1)).alias("rank2"))
+    trees = _units(each.join(met, "key").join(heavy, ["set1", "set2"]), "key", group_sets, threshold)
+    clusters = components(_walked(trees, threshold).distinct()).withColumnRenamed("group_id", "cluster")
+    wanted = cut(sets.select("id", "set1", "size").join(clusters.withColumnRenamed("doc_id", "id"), "id"))
+    loads = wanted.groupBy("cluster").agg(F.sum("size").alias("load"))
+    wanted = wanted.groupBy("id", "cluster").agg(F.collect_set("set1").alias("names")).join(loads, "cluster")
+    # only the texts of sets that could have a link go on
+    source = texts.join(_small(cut(wanted.withColumnRenamed("id", "doc_id")), 64), "doc_id")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            trees, s1 = batch.column("trees").to_pylist(), batch.column("s1").to_pylist()
+            names = batch.column("names").to_pylist()
             for a, b in portions(offsets):
                 grams, bounds = gram_sets(data, offsets[a : b + 1], n)
-                out: list[tuple] = []
-                for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
-                    own = grams[bounds[i] : bounds[i + 1]]
-                    one, two = identity(own, np.array([0, len(own)]))
-                    name = int(one.view(np.int64)[0])
-                    if name in s1[a + i]:
-                        out += [(t, name, int(two.view(np.int64)[0]), own.tobytes()) for t in trees[a + i]]
-                yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["tree", "s1", "s2", "grams"])
-
-    full = source.mapInArrow(again, "tree bigint, s1 bigint, s2 bigint, grams binary")
-
-    def verify(pairs: pa.Table, grams: pa.Table) -> pa.Table:
-        names = list(zip(grams.column("s1").to_pylist(), grams.column("s2").to_pylist()))
-        cells = dict(zip(names, grams.column("grams").to_pylist()))
-        number = {k: i for i, k in enumerate(cells)}
-        sets_ = [np.frombuffer(c, np.uint64) for c in cells.values()]
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets_])]).astype(np.int64)
-        flat = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64)
-        a = np.array([number[k] for k in zip(pairs.column("a1").to_pylist(), pairs.column("a2").to_pylist())], np.int64)
-        b = np.array([number[k] for k in zip(pairs.column("b1").to_pylist(), pairs.column("b2").to_pylist())], np.int64)
-        ids_a, ids_b = np.asarray(pairs.column("id_a"), np.int64), np.asarray(pairs.column("id_b"), np.int64)
-        if spanning:
-            keep, value = _span(flat, bounds, a, b, threshold)
-        else:
-            value = exact(flat, bounds, a, b)
-            keep = np.flatnonzero(value >= threshold)
-            value = value[keep]
-        return pa.table([pa.array(ids_a[keep]), pa.array(ids_b[keep]), pa.array(np.round(value, 6))], names=["id_a", "id_b", "jaccard"])
-
-    pairs = likely.groupBy("tree").cogroup(full.groupBy("tree")).applyInArrow(verify, "id_a bigint, id_b bigint, jaccard double")
-    pairs = pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"), "jaccard")
-    return copies, pairs
-
-
-def _span(grams: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what the threshold connects: pairs within one component already found needn't be compared.
-
-    Rounds of star comparisons: each set that heads a component is compared with all its partners outside it.
-    """
-    root = np.arange(len(bounds) - 1)
-    keep, value = [np.zeros(0, np.int64)], [np.zeros(0)]
-    order = np.lexsort((b, a))
-    heads = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]])) if len(a) else np.zeros(0, np.int64)
-    for h, t in zip(heads, np.append(heads[1:], len(a))):
-        p = order[h:t]
-        p = p[root[a[p]] != root[b[p]]]
-        if not len(p):
-            continue
-        v = exact(grams, bounds, a[p], b[p])
-        ok = v >= threshold
-        p, v = p[ok], v[ok]
-        if len(p):
-            joined = np.unique(np.append(root[b[p]], root[a[p[0]]]))
-            root[np.isin(root, joined)] = joined[0]
-            keep.append(p)
-            value.append(v)
-    return np.concatenate(keep), np.concatenate(value)
-
-
-def similar(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 10, rows: int = 2) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard): the pairs of documents whose word n-gram sets have a Jaccard coefficient of `threshold` at least; doc_id_a < doc_id_b.
-
-    Documents of equal sets are given once, as pairs (lowest doc_id, other doc_id, 1.0); every other pair is given for the lowest doc_ids of
-    the two sets and holds for all their copies. So the result says all without listing a thousand copies' half million pairs.
-    A text of fewer than n words is one gram; a text without words, a null text and a null doc_id have no pairs. Rows of one doc_id are
-    no pair. An empty table gives no row. Other columns are ignored. jaccard is rounded to 6 decimals after the comparison.
-    """
-    copies, pairs = _joined(docs, threshold, n, bands, rows, False)
-    return copies.withColumn("jaccard", F.lit(1.0)).unionByName(pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")))
+                full = np.flatnonzero(np.diff(bounds) > 0)
+                if not len(full):
+                    continue
+                bounds = np.append(bounds[full], bounds[-1])
+                one, two = (x.view(np.int64) for x in identity(grams, bounds))
+                at = np.flatnonzero([int(x) in names[a + i] for x, i in zip(one, full)])  # else another text of this doc_id
+                cells = pa.array([grams[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary())
+                rows_ = pa.array(a + full[at])
+                yield pa.record_batch([*[batch.column(c).take(rows_) for c in ("cluster", "load", "doc_id")], *[pa.array(x[at]) for x in (one, two, np.diff(bounds))], cells], names=["cluster", "load", "id", "set1", "set2", "size", "grams"])
+
+    full = source.mapInArrow(again, "cluster bigint, load bigint, id bigint, set1 bigint, set2 bigint, size bigint, grams binary")
+    done = cut(_verified(_units(full, "cluster", group_grams, threshold), threshold))
+    linked = done.groupBy("set1", "set2").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
+    each_doc = light.join(low, ["set1", "set2"]).join(linked, ["set1", "set2"], "left").withColumn("root", F.coalesce("root", "id"))
+    each_doc = cut(each_doc.select("doc_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    found = each_doc.groupBy("doc_id").agg(F.min("root").alias("class_id"), F.max("root").alias("_most"), F.sum("n_links").alias("n_links"), F.sum("n_copies").alias("n_copies"))
+    # within a unit classes are whole; those that several units share, or a document with several sets, are connected here
+    across = done.where("several and id <> root").select(F.col("root").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
+    torn = each_doc.join(found.where("class_id <> _most").select("doc_id", "class_id"), "doc_id").where("class_id <> root").select(F.col("class_id").alias("doc_id_a"), F.col("root").alias("doc_id_b"))
+    across = cut(across.unionByName(torn).distinct())
+    found = found.drop("_most").where("n_links > 0 or n_copies > 0")
+    if across.isEmpty():
+        return found
+    whole = components(across).select(F.col("doc_id").alias("class_id"), "group_id")
+    return found.join(whole, "class_id", "left").select("doc_id", F.coalesce("group_id", "class_id").alias("class_id"), "n_links", "n_copies")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -367,13 +461,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).unionByName(now.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 10, rows: int = 2) -> DataFrame:
-    """docs without the documents of which a lower doc_id is in their group (documents connected by pairs); of a repeated doc_id all its rows stay or go.
+def one_of_each(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 32, rows: int = 2) -> DataFrame:
+    """docs without the documents of which a lower doc_id is in their class (see classes()); of a repeated doc_id all its rows stay or go.
 
-    Rows without doc_id, text or words stay. Groups need only enough pairs to connect them, so large groups cost no more than their size.
+    Rows without doc_id, text or words stay. An empty table gives no row. Columns stay as they are, whatever their names.
     """
-    copies, pairs = _joined(docs, threshold, n, bands, rows, True)
-    groups = components(copies.unionByName(pairs.select("doc_id_a", "doc_id_b")))
-    gone = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
+    gone = classes(docs, threshold, n, bands, rows).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     whole = plain(docs, "doc_id")
     return whole.join(gone, whole["doc_id"] == gone["_gone"], "left_anti").toDF(*docs.columns)

@@ -67,29 +67,6 @@ def test_repeats_are_removed_but_for_their_home(spark, corpus):
     assert sorted((str(r[0]), " ".join((r[1] or "").split())) for r in kept.collect()) == want
 
 
-def test_jaccard_pairs_equal_brute_force(spark, corpus):
-    rng = random.Random(8)
-    base = prose(rng, 120).split()
-    near = [" ".join(w if rng.random() > 0.04 else "zz" for w in base) for _ in range(30)]
-    rows = corpus + [(100 + k, t) for k, t in enumerate(near)]
-    sets = {}
-    for i, t in rows:
-        ws = (t or "").split()
-        if i is not None and ws:
-            sets[i] = frozenset(zip(*[ws[k:] for k in range(3)])) if len(ws) >= 3 else frozenset([tuple(ws)])
-    low = {}
-    for i in sorted(sets):
-        low.setdefault(sets[i], i)
-    want = {(low[sets[i]], i) for i in sets if low[sets[i]] != i}
-    reps = sorted(low.values())
-    want |= {(a, b) for a, b in itertools.combinations(reps, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
-    got = {(r.doc_id_a, r.doc_id_b) for r in signature_trees.similar(frame(spark, rows), 0.5, 3, 16, 2).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want)
-    kept = signature_trees.one_of_each(frame(spark, rows), 0.5, 3, 16, 2)
-    ids = {r[0] for r in kept.collect()}
-    assert not any(b in ids for a, b in got) and {a for a, b in got if a not in {y for _, y in got}} <= ids and None in ids
-
-
 def test_shuffle_is_a_permutation_that_can_be_computed(spark):
     for n in (1, 2, 5, 64, 1000):
         p = sharding.permute(np.arange(n), n, 3)
@@ -204,7 +181,7 @@ def test_empty_tables(spark):
     assert suffix_dedup.duplicates(docs).count() == 0
     assert phrase_automata.occurrences(docs).count() == 0
     assert phrase_automata.without_repeats(docs).count() == 0
-    assert signature_trees.similar(docs).count() == 0
+    assert signature_trees.classes(docs).count() == 0
     assert signature_trees.one_of_each(docs).count() == 0
     assert pieces.encode(docs).count() == 0
     assert collision_ann.neighbours(spark.createDataFrame([], T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))).count() == 0
