@@ -1,10 +1,13 @@
 """Substring deduplication with repeated-phrase automata.
 
-Recurring passages are confirmed first: windows of min_words words that stand in two documents at least. The lowest
-document that has a window is its home; neighbouring windows of one home are a passage. The documents are cut into shards,
-and each shard compiles an Aho-Corasick automaton (over words, not characters) of the anchors of just those passages that
-its documents hold, so no automaton grows with the corpus. Every document is streamed through its shard's automaton; each
+The documents are cut into shards of bounded size. Recurring passages are confirmed first: windows of min_words words that stand in two
+documents at least. A shard sends what it has once, however many of its documents have it: its anchors, to learn which recur anywhere, then its
+windows at these, to learn which do. The lowest document that has a window is its home; neighbouring windows of one home are a passage. Each
+shard compiles an Aho-Corasick automaton (over words, not characters) of the anchors of just those passages that its documents hold, cut from
+their own texts, so no automaton grows with the corpus and no passage is sent. Every document is streamed through its shard's automaton; each
 hit is extended along the passage, which locates every occurrence to its full length.
+
+All three steps read one shuffle of the texts by shard; nothing is broadcast, collected or switched by size.
 """
 
 from __future__ import annotations
@@ -12,17 +15,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import pick, ship
-from .repeats import anchored, at_hits, buckets_of, by_bucket, islands, read_texts, reach, recurring, unpack
+from .repeats import EVEN, buckets_of, by_bucket, islands, reach, read_texts
 from .textops import anchors, gram_hashes, plain, portions, utf8, word_hashes, words
 
 U = np.uint64
+SHARD_BYTES = 1 << 23
 
 
 def _anchor_length(min_words: int) -> int:
@@ -31,87 +34,138 @@ def _anchor_length(min_words: int) -> int:
     return (min_words + 1) // 2
 
 
-def shards_of(docs: DataFrame) -> int:
-    """An odd number, so that regular gaps in the ids don't leave shards empty; it grows with spark.sql.shuffle.partitions."""
-    return 4 * buckets_of(docs) + 1
+def shards_of(rows: DataFrame) -> int:
+    """By the bytes of all texts, so that no shard grows with the corpus; several for each task in any case."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * buckets_of(rows) + 1, total // SHARD_BYTES + 1)
 
 
-def passages(rows: DataFrame, min_words: int, n_shards: int, **limits: int) -> DataFrame:
-    """(shard, home, passage): for each shard the runs of recurring windows that its documents have, as text of the windows' home.
+def _cells(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of all rows in a row, and how many each row has."""
+    data, offsets = utf8(column)
+    return data[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
-    Windows are met by their first recurring anchor, which is the same wherever a window stands; so neighbouring windows stay together, and
-    a shard is named once for each run of them.
-    """
-    length, buckets = _anchor_length(min_words), buckets_of(rows)
 
-    def windows(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all columns begins."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _pack(x: np.ndarray, heads: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(x)))], pa.binary())
+
+
+def _recurring(sharded: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(shard, c0): for each shard the hashes of those of its anchors that stand in two rows at least, wherever these are."""
+
+    def collect(table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for part in read_texts(table):
+            at, h = part.anchors(length)
+            text = part.text_of(at)
+            order = np.lexsort((h, text))
+            found.append(h[order][_heads(h[order], text[order])])
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        out = pa.Table.from_batches([by_bucket(h | (n > 1).astype(np.uint64), buckets)])
+        return out.append_column("shard", pa.array(np.full(out.num_rows, table.column("_shard")[0].as_py()), pa.int32()))
 
-        def packed() -> pa.RecordBatch:
-            anchor, h, ids, start = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(anchor, kind="stable")
-            t = by_bucket(anchor[order], buckets, h[order], ids[order], start[order])
-            return t.select(["bucket", "c1", "c2", "c3"])
+    def meet(table: pa.Table) -> pa.Table:
+        h, size = _cells(table.column("c0"), np.uint64)
+        shard = np.repeat(np.asarray(table.column("shard")), size)
+        order = np.argsort(h, kind="stable")
+        h, shard = h[order], shard[order]
+        heads = _heads(h & EVEN)
+        count = np.diff(np.append(heads, len(h)))
+        ok = np.repeat((count > 1) | (h[np.append(heads[1:], len(h)) - 1] & U(1) > 0), count) if len(h) else np.zeros(0, bool)
+        h, shard = h[ok] & EVEN, shard[ok]
+        order = np.lexsort((h, shard))
+        h, shard = h[order], shard[order]
+        heads = _heads(shard)
+        return pa.table([pa.array(shard[heads], pa.int32()), _pack(h, heads)], names=["shard", "c0"])
 
-        size = 0
-        for batch, part, at, anchor in parts:
-            left = reach(part, at, length, min_words)
-            count = left + 1
+    return sharded.groupBy("_shard").applyInArrow(collect, "bucket int, c0 binary, shard int").groupBy("bucket").applyInArrow(meet, "shard int, c0 binary")
+
+
+def _windows(sharded: DataFrame, recurring: DataFrame, min_words: int, buckets: int) -> DataFrame:
+    """(shard, row, start, end, home): for each shard the runs of windows of its rows that recur, from start to before end, each window once.
+
+    A window is met by its first recurring anchor, which is the same wherever it stands, so neighbouring windows of a row stay together.
+    """
+    length = _anchor_length(min_words)
+    names = ["bucket", "shard", "low", "high", "row", "start", "count", "h"]
+
+    def collect(table: pa.Table, known: pa.Table) -> pa.Table:
+        anchor_table = np.sort(_cells(known.column("c0"), np.uint64)[0])
+        ids, rows = np.asarray(table.column("doc_id")), np.asarray(table.column("_row"))
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for part in read_texts(table) if len(anchor_table) else ():
+            at, anchor = part.anchors(length)
+            ok = anchor_table[np.minimum(np.searchsorted(anchor_table, anchor), len(anchor_table) - 1)] == anchor
+            at, anchor = at[ok], anchor[ok]
+            count = reach(part, at, length, min_words) + 1
             begin = np.repeat(at, count) - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
-            anchor = np.repeat(anchor, count)
-            text = part.text_of(begin)
+            anchor, text = np.repeat(anchor, count), part.text_of(begin)
             ok = begin + min_words <= part.bounds[text + 1]
             begin, text, anchor = begin[ok], text[ok], anchor[ok]
             if len(begin):
-                ids = batch.column("doc_id").to_numpy()
-                found.append((anchor, gram_hashes(part.tokens, min_words)[begin], ids[part.a + text], (begin - part.bounds[text]).astype(np.int32)))
-                size += len(begin)
-            if size > 1 << 21:
-                yield packed()
-                found, size = [], 0
-        if found:
-            yield packed()
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, doc, start = unpack(pdf["c1"], np.uint64), unpack(pdf["c2"], np.int64), unpack(pdf["c3"], np.int32)
-        order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
-        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        tails = np.append(heads[1:], len(h)) - 1
+                found.append((anchor, gram_hashes(part.tokens, min_words)[begin], ids[part.a + text], rows[part.a + text], (begin - part.bounds[text]).astype(np.int32)))
+        anchor, h, doc, row, start = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, row, doc, h))
+        anchor, h, doc, row, start = (x[order] for x in (anchor, h, doc, row, start))
+        heads = _heads(h)
+        high = doc[np.append(heads[1:], len(h)) - 1] if len(h) else doc
+        anchor, h, low, row, start = (x[heads] for x in (anchor, h, doc, row, start))  # the first is of the lowest document
+        bucket = ((anchor >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+        order = np.lexsort((start, row, bucket))
+        bucket, h, low, high, row, start = (x[order] for x in (bucket, h, low, high, row, start))
+        run = _heads(bucket, low, high, row, start - np.arange(len(start)))
+        count = np.diff(np.append(run, len(h))).astype(np.int32)
+        of_bucket = _heads(bucket[run])
+        cells = [_pack(x, of_bucket) for x in (low[run], high[run], row[run], start[run], count)]
+        shard = table.column("_shard")[0].as_py() if table.num_rows else 0
+        return pa.table([pa.array(bucket[run][of_bucket], pa.int32()), pa.array(np.full(len(of_bucket), shard), pa.int32()), *cells, _pack(h, run[of_bucket])], names=names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        low, runs = _cells(table.column("low"), np.int64)
+        high, row, start, count = (_cells(table.column(c), t)[0] for c, t in (("high", np.int64), ("row", np.int64), ("start", np.int32), ("count", np.int32)))
+        h = _cells(table.column("h"), np.uint64)[0]
+        shard = np.repeat(np.asarray(table.column("shard")), runs)
+        run = np.repeat(np.arange(len(low)), count)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.argsort(h, kind="stable")
+        heads = _heads(h[order])
         size = np.diff(np.append(heads, len(h)))
-        again = np.repeat(doc[heads] != doc[tails], size)
-        home, begin, shard = np.repeat(doc[heads], size)[again], np.repeat(start[heads], size)[again], (doc % n_shards)[again]
-        order = np.lexsort((begin, home, shard))
-        home, begin, shard = home[order], begin[order], shard[order]
-        new = np.ones(len(home), bool)
-        new[1:] = (home[1:] != home[:-1]) | (shard[1:] != shard[:-1]) | (begin[1:] > begin[:-1] + 1)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(home)) - 1 if len(heads) else heads
-        return pd.DataFrame({"doc_id": home[heads], "shard": shard[heads].astype(np.int32), "start_word": begin[heads], "end_word": begin[tails] + 1})
-
-    shared = recurring(rows, read_texts, length)
-    split = at_hits(rows, read_texts, anchored(length), shared, windows, "bucket int, c1 binary, c2 binary, c3 binary", **limits)
-    runs = islands(split.groupBy("bucket").applyInPandas(meet, "doc_id bigint, shard int, start_word int, end_word int"), "doc_id", "shard")
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "start_word", "end_word")).alias("spans"))
-
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            spans, ids = batch.column("spans").to_pylist(), batch.column("doc_id").to_numpy()
-            shard, home, cut_out = [], [], []
-            for a, b in portions(offsets):
-                starts, ends, bounds = words(data, offsets[a : b + 1])
-                for i in range(a, b):
-                    base = bounds[i - a]
-                    for s in spans[i]:
-                        last = base + s["end_word"] - 1 + min_words
-                        if last <= bounds[i - a + 1]:  # else another row of this doc_id
-                            shard.append(s["shard"])
-                            home.append(ids[i])
-                            cut_out.append(data[starts[base + s["start_word"]] : ends[last - 1]].tobytes().decode())
-            yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(home, pa.int64()), pa.array(cut_out, pa.string())], names=["shard", "home", "passage"])
-
-    return rows.join(spans, "doc_id").mapInArrow(text, "shard int, home bigint, passage string")
+        least, most = np.minimum.reduceat(low[run][order], heads), np.maximum.reduceat(high[run][order], heads)
+        home = np.empty(len(h), np.int64)
+        again = np.empty(len(h), bool)
+        home[order], again[order] = np.repeat(least, size), np.repeat(least != most, size)
+        run, begin, home = run[again], (start[run] + place)[again], home[again]
+        order = np.lexsort((begin, home, row[run], shard[run]))
+        run, begin, home = run[order], begin[order], home[order]
+        heads = _heads(shard[run], row[run], home, begin - np.arange(len(begin)))
+        tails = np.append(heads[1:], len(begin)) - 1 if len(heads) else heads
+        return pa.table([pa.array(shard[run[heads]], pa.int32()), pa.array(row[run[heads]]), pa.array(begin[heads].astype(np.int32)), pa.array(begin[tails].astype(np.int32) + np.int32(1)), pa.array(home[heads])], names=["shard", "row", "start", "end", "home"])
+
+    kinds = "bucket int, shard int, low binary, high binary, row binary, start binary, count binary, h binary"
+    return sharded.groupBy("_shard").cogroup(recurring.groupBy("shard")).applyInArrow(collect, kinds).groupBy("bucket").applyInArrow(meet, "shard int, row bigint, start int, end int, home bigint")
+
+
+def _passages(table: pa.Table, runs: pa.Table, min_words: int) -> tuple[np.ndarray, pa.Array]:
+    """Homes and texts of a shard's passages: runs that go on in one another, cut from the rows that have them."""
+    row, start, end, home = (np.asarray(runs.column(c)) for c in ("row", "start", "end", "home"))
+    order = np.lexsort((start, home, row))
+    row, start, end, home = (x[order] for x in (row, start, end, home))
+    heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (home[1:] != home[:-1]) | (start[1:] > end[:-1])])) if len(row) else np.zeros(0, np.int64)
+    end = end[np.append(heads[1:], len(row)) - 1] if len(heads) else end
+    row, start, home = row[heads], start[heads], home[heads]
+    names, at = np.unique(np.asarray(table.column("_row")), return_index=True)
+    data, offsets = utf8(table.column("text"))
+    out: list[str] = []
+    for head, tail in zip(_heads(row), np.append(_heads(row)[1:], len(row))):
+        i = int(at[np.searchsorted(names, row[head])])
+        starts, ends, _ = words(data, offsets[i : i + 2])
+        out += [data[starts[s] : ends[e - 2 + min_words]].tobytes().decode() for s, e in zip(start[head:tail].tolist(), end[head:tail].tolist())]
+    return home, pa.array(out, pa.string())
 
 
 class Automaton:
@@ -153,7 +207,10 @@ class Automaton:
             return out
         done: dict[int, int] = {}  # (text position - passage position) -> how far it has been compared
         n = len(text)
-        for end, value in self.machine.iter(tuple(text.tolist())):
+        # an occurrence has only words of passages: other words cut the text, and what is then too short holds none
+        solid = np.flatnonzero(np.diff(np.concatenate([[0], (text > 0).astype(np.int8), [0]])))
+        hits = ((a + end, value) for a, b in zip(solid[::2].tolist(), solid[1::2].tolist()) if b - a >= self.min_words for end, value in self.machine.iter(tuple(text[a:b].tolist())))
+        for end, value in hits:
             s = end - self.length + 1
             for p in value:
                 if done.get(s - p, -1) >= s:
@@ -177,18 +234,28 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _streamed(rows: DataFrame, min_words: int, handle, schema: T.StructType | str, **limits: int) -> DataFrame:
+def _streamed(rows: DataFrame, min_words: int, handle, schema: T.StructType | str) -> DataFrame:
     """handle(table, automaton) over each shard of rows (doc_id, text, ...)."""
+    length, buckets = _anchor_length(min_words), buckets_of(rows)
     n_shards = shards_of(rows)
-    routed = passages(pick(rows, "doc_id", "text"), min_words, n_shards, **limits)
-    shard = F.pmod("doc_id", F.lit(n_shards)).cast("int")
+    sharded = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_shard", F.pmod("_row", F.lit(n_shards)).cast("int"))
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        machine = Automaton(np.asarray(found.column("home"), np.int64), found.column("passage").combine_chunks(), min_words)
-        return handle(docs, machine)
+        return handle(docs, Automaton(*_passages(docs, found, min_words), min_words))
+
+    runs = _windows(sharded, _recurring(sharded, length, buckets), min_words, buckets)
+    return sharded.groupBy("_shard").cogroup(runs.groupBy("shard")).applyInArrow(run, schema)
+
 
-    left = rows.withColumn("_shard", shard).groupBy("_shard")
-    return left.cogroup(routed.groupBy("shard")).applyInArrow(run, schema)
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, home) of which those of one home that overlap or touch are one."""
+    out: list[tuple[int, int, int]] = []
+    for s, e, home in sorted(spans, key=lambda x: (x[2], x[0])):
+        if out and out[-1][2] == home and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1]), home
+        else:
+            out.append((s, e, home))
+    return out
 
 
 def _spans(table: pa.Table, machine: Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
@@ -200,14 +267,14 @@ def _spans(table: pa.Table, machine: Automaton) -> Iterator[tuple[int, np.ndarra
         known = machine.known(word_hashes(data, starts, ends))
         for i in range(a, b):
             lo, hi = bounds[i - a], bounds[i - a + 1]
-            yield i, starts[lo:hi], ends[lo:hi], machine.locate(known[lo:hi])
+            yield i, starts[lo:hi], ends[lo:hi], merged(machine.locate(known[lo:hi]))
 
 
 def _usable(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def occurrences(docs: DataFrame, min_words: int = 50, **limits: int) -> DataFrame:
+def occurrences(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, start_word, end_word, home): every occurrence of a recurring passage of min_words words or more.
 
     A passage recurs if two documents at least have it; home is the lowest doc_id that does, whose own occurrence is in the
@@ -224,14 +291,16 @@ def occurrences(docs: DataFrame, min_words: int = 50, **limits: int) -> DataFram
         x = np.array(found, np.int64).reshape(-1, 4)
         return pa.table([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3])], names=["doc_id", "start_word", "end_word", "home"])
 
-    found = _streamed(rows, min_words, handle, "doc_id bigint, start_word int, end_word int, home bigint", **limits)
+    found = _streamed(rows, min_words, handle, "doc_id bigint, start_word int, end_word int, home bigint")
     return islands(found, "doc_id", "home").select("doc_id", "start_word", "end_word", "home")
 
 
-def without_repeats(docs: DataFrame, min_words: int = 50, **limits: int) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs without the words of recurring passages, but in the passages' homes; documents of which no word is left go.
 
-    Columns stay as they are (n_chars, if there is one, follows the text). Rows without a doc_id or text stay as they are.
+    Columns stay as they are (n_chars, if there is one, follows the text). Rows without a doc_id or text stay as they are, and so do texts without words; rows
+    of one doc_id are one document, and repeated rows are treated alike: all keep what the document keeps. Of two documents that tie for nothing but the doc_id's
+    order the lower one is the home. An empty table gives no row; other columns, whatever their names, are carried along.
     """
     ship(docs.sparkSession)
     whole = plain(docs, "doc_id", "text", "n_chars")
@@ -258,7 +327,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50, **limits: int) -> Data
                 table = table.set_column(table.schema.get_field_index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in texts], kind))
         return table.filter(pa.array(keep)).select(names).cast(pa.schema([(n, table.schema.field(n).type) for n in names]))
 
-    done = _streamed(rows, min_words, handle, rows.select(*names).schema, **limits)
+    done = _streamed(rows, min_words, handle, rows.select(*names).schema)
     rest = whole.where("doc_id is null or text is null")
     return done.select(*[F.col(f.name).cast(f.dataType) for f in schema]).unionByName(rest).toDF(*docs.columns)
 

@@ -54,8 +54,13 @@ def test_repeats_equal_brute_force(spark, corpus, limits):
     want = windows(corpus, 50)
     got = {(r.doc_id, p, r.first_copy) for r in suffix_dedup.duplicates(docs, 50, **limits).collect() for p in range(r.start_word, r.end_word)}
     assert got == want
-    got = {(r.doc_id, p, r.home == r.doc_id) for r in phrase_automata.occurrences(docs, 50, **limits).collect() for p in range(r.start_word, r.end_word)}
-    assert got == want
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 23, 900])
+def test_phrases_equal_brute_force(spark, corpus, shard_bytes, monkeypatch):
+    monkeypatch.setattr(phrase_automata, "SHARD_BYTES", shard_bytes)
+    got = {(r.doc_id, p, r.home == r.doc_id) for r in phrase_automata.occurrences(frame(spark, corpus), 50).collect() for p in range(r.start_word, r.end_word)}
+    assert got == windows(corpus, 50)
 
 
 def test_repeats_are_removed_but_for_their_home(spark, corpus):
@@ -151,31 +156,6 @@ def test_pages_keep_unique_runs(spark):
         assert got[7].text == "" and got[8].n_words == 0 and len(got) == 10
 
 
-@pytest.mark.parametrize("segment", [1 << 16, 300])
-def test_pieces_round_trip(spark, segment):
-    rng = random.Random(6)
-    texts = ["", None, " ", "a", "é漢字🙂 x", "▁ mark ▁▁", "  two  blanks\n\nlines\t", prose(rng, 400), "a" * 2000, prose(rng, 50)]
-    docs = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id bigint, text string")
-    got = pieces.encode(docs, segment_chars=segment, chunk=64).collect()
-    assert len(got) == 11 and all(r.exact for r in got if r.doc_id != 1) and next(r for r in got if r.doc_id == 1).ids is None
-    sp = pieces.Coder(pieces.load_model())
-    for i in (7, 8):
-        want = sp.sp.encode(sp.prepare(texts[i])[0])
-        mine = next(r for r in got if r.doc_id == i).ids
-        assert abs(sp.scores[want].sum() - sp.scores[mine].sum()) < 1e-3
-
-
-@pytest.mark.parametrize("segment", [200, 1 << 16])
-def test_pieces_are_those_of_the_unaltered_library(spark, segment):
-    from sentencepiece import SentencePieceProcessor
-
-    rng = random.Random(8)
-    texts = ["", " ", "the international community  and   others\n\n", "é漢字🙂 x" * 40, "国际社会" * 90, " " * 1500, "a" * 1500, "the international community " * 40, prose(rng, 400), "".join(rng.choice("ab 国éz\n  ") for _ in range(3000))]
-    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), segment_chars=segment, chunk=64).collect()
-    sp = SentencePieceProcessor(model_file=pieces.MODEL)
-    assert {r.doc_id: r.ids for r in got} == dict(enumerate(sp.encode(texts))) and all(r.exact for r in got)
-
-
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], ODD)
     assert suffix_dedup.duplicates(docs).count() == 0
