@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grams
 from ..functions import kernels as K
 from ..functions import text as X
 from ..runtime import ship
 
 
-def _clipped(rows: DataFrame, make, orders: range) -> DataFrame:
-    """(n, correct, total_hyp, total_ref): gram counts of the hypothesis, clipped by the greatest count in a reference."""
+def _clipped(rows: DataFrame, orders: range) -> DataFrame:
+    """(n, correct, total_hyp, total_ref): gram counts of the hypothesis, clipped by the greatest count in a reference.
+
+    Counting and clipping stay inside a row, so only sums leave a task: a row for each order and batch. hyp and refs are strings (of characters) or arrays (of words).
+    """
+    ship(rows.sparkSession)
 
-    def one(c: Column, n: int) -> Column:
-        return F.transform(make(c, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(orders), 3), np.int64)
+        for batch in batches:
+            for hyp, refs in zip(batch.column("hyp").to_pylist(), batch.column("refs").to_pylist()):
+                sums += [grams.clipped(hyp or "", [r for r in refs or () if r is not None], n) for n in orders]
+        yield pa.record_batch([pa.array(list(orders), pa.int32()), *[pa.array(sums[:, k]) for k in range(3)]], names=["n", "correct", "total_hyp", "total_ref"])
 
-    grams = lambda c: F.flatten(F.array(*[one(c, n) for n in orders]))
-    hyp = rows.select("id", F.explode(grams(F.col("hyp"))).alias("x")).groupBy("id", "x.n", "x.g").agg(F.count("*").alias("c"))
-    refs = rows.select("id", F.posexplode("refs").alias("r", "ref")).select("id", "r", F.explode(grams(F.col("ref"))).alias("x")).groupBy("id", "r", "x.n", "x.g").agg(F.count("*").alias("c"))
-    most = refs.groupBy("id", "n", "g").agg(F.max("c").alias("m"))
-    ref_total = refs.groupBy("n").agg(F.sum("c").alias("total_ref"))
-    out = hyp.join(most, ["id", "n", "g"], "left").groupBy("n").agg(F.sum(F.least("c", F.coalesce("m", F.lit(0)))).alias("correct"), F.sum("c").alias("total_hyp"))
-    return out.join(ref_total, "n", "full")
+    parts = rows.select("hyp", "refs").mapInArrow(run, "n int, correct bigint, total_hyp bigint, total_ref bigint")
+    return parts.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("correct", "total_hyp", "total_ref")])
 
 
 def bleu(rows: DataFrame, lower: bool = False) -> DataFrame:
@@ -31,7 +39,7 @@ def bleu(rows: DataFrame, lower: bool = False) -> DataFrame:
     rows = rows.select("id", words(F.col("hyp")).alias("hyp"), F.transform("refs", words).alias("refs"))
     close = F.array_min(F.transform("refs", lambda r: F.struct(F.abs(F.size(r) - F.size("hyp")).alias("d"), F.size(r).alias("n"))))["n"]
     lengths = rows.agg(F.sum(F.size("hyp")).alias("hyp_length"), F.sum(close).alias("ref_length"))
-    p = _clipped(rows, X.ngrams, range(1, 5)).groupBy().pivot("n", [1, 2, 3, 4]).agg(F.first(F.when(F.col("total_hyp") > 0, F.col("correct") / F.col("total_hyp")).otherwise(0.0)))
+    p = _clipped(rows, range(1, 5)).groupBy().pivot("n", [1, 2, 3, 4]).agg(F.first(F.when(F.col("total_hyp") > 0, F.col("correct") / F.col("total_hyp")).otherwise(0.0)))
     one = p.crossJoin(lengths)  # one row each
     logs = sum((F.when(F.coalesce(F.col(str(n)), F.lit(0.0)) > 0, F.ln(F.col(str(n)))).otherwise(F.lit(-9999999999.0)) for n in range(1, 5)), F.lit(0.0))
     brevity = F.when(F.col("hyp_length") >= F.col("ref_length"), 1.0).when(F.col("hyp_length") > 0, F.exp(1 - F.col("ref_length") / F.col("hyp_length"))).otherwise(0.0)
@@ -43,7 +51,7 @@ def chrf(rows: DataFrame, order: int = 6, beta: float = 3.0, space: bool = False
     """One row: chrf, precision, recall over character n-grams; orders without n-grams count as 0."""
     plain = lambda c: c if space else F.regexp_replace(c, X.BLANK, "")
     rows = rows.select("id", plain(F.col("hyp")).alias("hyp"), F.transform("refs", plain).alias("refs"))
-    sums = _clipped(rows, X.char_ngrams, range(1, order + 1)).agg(
+    sums = _clipped(rows, range(1, order + 1)).agg(
         (F.sum(F.coalesce(F.col("correct") / F.col("total_hyp"), F.lit(0.0))) / order).alias("p"), (F.sum(F.coalesce(F.col("correct") / F.col("total_ref"), F.lit(0.0))) / order).alias("r")
     )
     p, r, b = F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0)), beta * beta

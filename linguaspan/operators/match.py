@@ -7,24 +7,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import grams
 from ..functions import kernels as K
-from ..functions import text as X
 from ..runtime import ship
 
 
-def _grams(words: Column, low: int, high: int) -> Column:
-    return F.flatten(F.array(*[X.ngrams(words, n) for n in range(low, high + 1)]))
+GRAM_BYTES = 1 << 24  # n-grams of the test side that are broadcast at most
+
+
+def _grams(rows: DataFrame, key: str, orders: range, known: DataFrame | None = None, most_masks: int = -1) -> DataFrame:
+    """(key, gram, n): the n-grams of each row (key, words) and how often it has them. known: only those of (gram).
+
+    Those known are broadcast if they are counted and found to take GRAM_BYTES at most, and the others then never leave the task; otherwise all are joined with them.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    shared = None
+    if known is not None:
+        n, size = known.agg(F.count("*"), F.sum(F.octet_length("gram"))).first()
+        if 8 * n + (size or 0) <= GRAM_BYTES:
+            shared = spark.sparkContext.broadcast([r.gram for r in known.collect()])
+    name = rows.schema[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if shared is None else pa.array(shared.value, pa.string())
+        for batch in batches:
+            for at, part in grams.portions(batch.column("words")):
+                for order in orders:
+                    row, found = grams.word_ngrams(part, order, most_masks)
+                    if wanted is not None:
+                        ok = pc.is_in(found, value_set=wanted)
+                        row, found = row[np.asarray(ok)], found.filter(ok)
+                    row, found, n = grams.counted(row, found)
+                    yield pa.record_batch([batch.column(key).take(pa.array(at + row)), found, pa.array(n)], names=[key, "gram", "n"])
+
+    out = rows.select(key, "words").mapInArrow(run, T.StructType([name, T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
+    return out if known is None or shared is not None else out.join(known, "gram", "left_semi")
+
+
+def ngram_counts(rows: DataFrame, n: int = 3, masks: bool = False, most_masks: int = -1) -> DataFrame:
+    """(gram, n): how often each n-gram of rows (words) stands in all; masks: numbers and punctuation are masked first. Each task sends what a batch has once."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in grams.portions(batch.column("words")):
+                _, found = grams.word_ngrams(grams.masked(part) if masks else part, n, most_masks)
+                found = found.value_counts()
+                yield pa.record_batch([found.field("values"), found.field("counts")], names=["gram", "n"])
+
+    return rows.select("words").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def ngram_candidates(test: DataFrame, train: DataFrame, n: int = 5, most_masks: int = -1) -> DataFrame:
-    """(tst_id, trn_id) of sentences that share an n-gram."""
-    keep = lambda g: X.few_masks(F.split(g, " "), most_masks)
-    one = test.select("tst_id", F.explode(F.array_distinct(F.filter(X.ngrams(F.col("words"), n), keep))).alias("gram"))
-    two = train.select("trn_id", F.explode(F.array_distinct(F.filter(X.ngrams(F.col("words"), n), keep))).alias("gram"))
+    """(tst_id, trn_id) of sentences that share an n-gram. The test side's n-grams are made first; only those of the train side that are among them go on."""
+    one = _grams(test, "tst_id", range(n, n + 1), None, most_masks).select("tst_id", "gram")
+    two = _grams(train, "trn_id", range(n, n + 1), one.select("gram").distinct(), most_masks)
     return one.join(two, "gram").select("tst_id", "trn_id").distinct()
 
 
@@ -43,10 +88,12 @@ def best_overlap(test: DataFrame, train: DataFrame, n: int = 5, avoid_perfect: b
 def fuzzy_counts(test: DataFrame, train: DataFrame, low: int = 2, high: int = 4, whole_set: bool = False) -> DataFrame:
     """(tst_id, trn_id, score): occurrences in the train sentence of the test sentence's distinct n-grams. whole_set: of all test n-grams together, without tst_id.
 
-    Train n-grams are counted per sentence before the join, so a gram's repeats don't multiply rows.
+    The test side's n-grams are made first. Train n-grams that aren't among them go no further, the others are counted in their row, so that repeats don't multiply rows.
     """
-    one = test.select(*([] if whole_set else ["tst_id"]), F.explode(_grams(F.col("words"), low, high)).alias("gram")).distinct()
-    two = train.select("trn_id", F.explode(_grams(F.col("words"), low, high)).alias("gram")).groupBy("trn_id", "gram").agg(F.count("*").alias("n"))
+    orders = range(low, high + 1)
+    one = _grams(test, "tst_id", orders).select(*([] if whole_set else ["tst_id"]), "gram").distinct()
+    known = one if whole_set else one.select("gram").distinct()
+    two = _grams(train, "trn_id", orders, known)
     return two.join(one, "gram").groupBy(*([] if whole_set else ["tst_id"]), "trn_id").agg(F.sum("n").alias("score"))
 
 

@@ -79,8 +79,9 @@ def domain_tfidf(lines: DataFrame, tag: str, most: int = 0, form: str = "ratio",
     n_tags = totals.agg(F.count("*").alias("d"))
     spread = freq.groupBy("word").agg(F.count("*").alias("n"))
     ratio = F.col("d") / F.col("n") if form == "ratio" else F.col("d") * F.col("n")
-    value = freq.join(F.broadcast(totals), tag).join(spread, "word").crossJoin(F.broadcast(n_tags)).withColumn("v", F.col("freq") / F.col("total") * F.ln(ratio))  # one row for each tag
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(tag)))
+    value = freq.join(spread, "word").join(totals, tag).crossJoin(F.broadcast(n_tags)).withColumn("v", F.col("freq") / F.col("total") * F.ln(ratio))  # n_tags is one row
+    norm = F.col("norm")
+    value = value.join(value.groupBy(tag).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")), tag)
     return value.select(tag, "word", F.round(F.when(norm > 0, F.col("v") / norm).otherwise(F.lit(0.0)), digits).alias("tfidf"))
 
 
@@ -89,7 +90,7 @@ def domain_similarity(model: DataFrame, test: DataFrame, tag: str, id_column: st
     counts = test.select(id_column, F.explode("words").alias("word")).groupBy(id_column, "word").agg(F.count("*").alias("tf")).join(model.select("word").distinct(), "word", "left_semi")
     norm = counts.groupBy(id_column).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     sums = counts.join(model, "word").groupBy(id_column, tag).agg(F.sum(F.col("tf") * F.col("tfidf")).alias("dot"))
-    every = test.select(id_column).distinct().crossJoin(F.broadcast(model.select(tag).distinct()))  # tags are few
+    every = test.select(id_column).distinct().crossJoin(model.select(tag).distinct())  # the result has every text with every tag
     scored = every.join(sums, [id_column, tag], "left").join(norm, id_column, "left").withColumn("cosine", F.round(F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)), 4))
     rank = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col("cosine").desc(), tag))
     return scored.select(id_column, tag, "cosine", rank.cast("bigint").alias("rank"))

@@ -439,8 +439,7 @@ def joiner_features(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {DOCS}, mk as (select [case when regexp_full_match(w, '[0-9]*\\.?[0-9]*') and regexp_matches(w, '[0-9]') then '𝚇' when regexp_full_match(w, '[!-/:-@\\[-`{{-~]*') then '𝚇' else w end for w in words] as words from docs where words is not null),
 g as (select {GRAM.format(2)} as gram from mk) select gram, count(*) as n from g where len([x for x in string_split(gram, ' ') if x = '𝚇']) <= 1 group by gram having count(*) > 3""")
 def masked_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    g = documents(spark, sf).select(F.explode(X.ngrams(X.masked(F.col("words")), 3)).alias("gram"))
-    return g.where(X.few_masks(F.split("gram", " "), 1)).groupBy("gram").agg(F.count("*").alias("n")).where("n > 3")
+    return match.ngram_counts(documents(spark, sf), 3, True, 1).where("n > 3")
 
 
 VOCAB = f"{DOCS}, f as (select word, count(*) as freq from (select unnest(words) as word from docs) group by word), vocab as (select 0::bigint as idx, '<unk>' as word, 0::bigint as freq union all select row_number() over (order by freq desc, word), word, freq from f where freq >= 5)"
