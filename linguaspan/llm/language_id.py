@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram vector binds (multiplies) the vectors of its letters,
+Every letter of any script has a random vector of +1 and -1, of a hash of its code point. An n-gram vector binds (multiplies) the vectors of its letters,
 each permuted (rotated) once for every later letter; a text bundles (adds) the vectors of its n-grams. A language
 prototype bundles the unit vectors of a bounded sample of labelled texts. A text gets the language of the
 prototype of highest cosine.
@@ -20,78 +20,88 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..runtime import pick, ship
-from .textops import portions, utf8
+from .textops import mix, portions, utf8
 
-WIDTH, SYMBOLS = 1024, 256
+U = np.uint64
+
+WIDTH = 1024
+PLANES = 0x32400  # code points of the first planes; what is beyond holds no letters
+TEXTS, CELLS = 256, 1 << 15  # texts and (text, trigram) pairs that are bundled at a time
 
 
 def _alphabet() -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter; Latin letters have their own, other scripts share 96 by code point."""
-    table = np.zeros(0x110000, np.uint8)
-    own: dict[str, int] = {}
-    for cp in range(0x250):
-        low = chr(cp).lower()
-        if chr(cp).isalpha() and len(low) == 1:
-            table[cp] = own.setdefault(low, len(own) + 1) if len(own) < 159 or low in own else 1 + cp % 159
-    rest = np.arange(0x250, 0x110000)
-    table[rest] = 160 + (rest * 2654435761 >> 7) % 96
-    for lo, hi in ((0x2000, 0x2C00), (0x3000, 0x3040), (0xD800, 0xF900), (0xFE00, 0xFE70), (0x1F000, 0x1FB00), (0xE0000, 0x110000)):
-        table[lo:hi] = 0  # punctuation, symbols, surrogates, private use, emoji
-    for cp in range(0x250, 0x600):
-        if unicodedata.category(chr(cp))[0] not in "LM":
-            table[cp] = 0
+    """Code point -> letter: the code point of its lower case; 0 for what is neither a letter nor a mark of one."""
+    table = np.zeros(PLANES, np.uint32)
+    for cp in range(PLANES):
+        if unicodedata.category(chr(cp))[0] in "LM":
+            low = chr(cp).lower()
+            table[cp] = ord(low) if len(low) == 1 else cp
     return table
 
 
 _cache: dict[str, np.ndarray] = {}
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _letters_of(points: np.ndarray) -> np.ndarray:
     if not _cache:
         _cache["alphabet"] = _alphabet()
-        _cache["letters"] = np.random.Generator(np.random.PCG64(271828)).integers(0, 2, (SYMBOLS, WIDTH), dtype=np.int8) * 2 - 1
-    return _cache["alphabet"], _cache["letters"]
+    return np.where(points < PLANES, _cache["alphabet"][np.minimum(points, PLANES - 1)], 0)
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """[letters, WIDTH]: a random vector of +1 and -1 of each letter's own, the bits of a hash of its code point; 0 stands for all that is no letter."""
+    bits = mix(mix(letters.astype(np.uint64)[:, None] + U(1)) + np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+    return np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-def gram_vectors(codes: np.ndarray) -> np.ndarray:
-    """The bound vector of each trigram code (three symbols of 8 bits)."""
-    letters = _tables()[1]
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (first[codes >> 16] * second[codes >> 8 & 255] * letters[codes & 255]).astype(np.float32)
+def gram_vectors(first: np.ndarray, second: np.ndarray, third: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The bound vector of each trigram; its letters are given as rows of `letters`, vectors of which earlier ones are rotated further."""
+    return (np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]).astype(np.float32)
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, trigram code and count, of the texts in data[offsets[0]:offsets[-1]]; runs of non-letters are one symbol."""
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, trigram (numbers of letters in base 2**20) and count, by text, of the texts in data[offsets[0]:offsets[-1]], and the letters. Runs of non-letters are one letter."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets - lo]
-    symbols = _tables()[0][points]
+    symbols = _letters_of(points)
     text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(begins))
     gap = symbols == 0
     keep = np.ones(len(symbols), bool)
     keep[1:] = ~(gap[1:] & gap[:-1] & (text[1:] == text[:-1]))
-    symbols, text = symbols[keep].astype(np.int64), text[keep]
-    if len(symbols) < 3:
-        return (np.zeros(0, np.int64),) * 3
-    key = text[:-2] << 24 | symbols[:-2] << 16 | symbols[1:-1] << 8 | symbols[2:]
-    key = key[(text[:-2] == text[2:]) & ((key & 0xFFFFFF) != 0)]
-    key.sort()
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[new] >> 24, key[new] & 0xFFFFFF, np.diff(np.append(new, len(key)))
+    letters, number = np.unique(symbols[keep], return_inverse=True)
+    number, text = number.astype(np.int64), text[keep]
+    if len(number) < 3:
+        return (np.zeros(0, np.int64),) * 3 + (letters,)
+    solid = symbols[keep] != 0
+    ok = (text[:-2] == text[2:]) & (solid[:-2] | solid[1:-1] | solid[2:])
+    code = (number[:-2] << 40 | number[1:-1] << 20 | number[2:])[ok]
+    known, at = np.unique(code, return_inverse=True)
+    key, count = np.unique(text[:-2][ok] * len(known) + at, return_counts=True)
+    return key // max(1, len(known)), known[key % max(1, len(known))], count, letters
 
 
 def bundles(column: pa.Array) -> np.ndarray:
-    """A vector for each text; zero for one without letters."""
+    """A vector for each text; zero for one without letters. Memory is bounded by TEXTS and CELLS, whatever the texts' lengths and letters."""
     data, offsets = utf8(column)
     out = np.zeros((len(offsets) - 1, WIDTH), np.float32)
     for a, b in portions(offsets, 1 << 19):
-        text, code, count = trigrams(data, offsets[a : b + 1])
-        known, at = np.unique(code, return_inverse=True)
-        dense = np.zeros((b - a, len(known)), np.float32)
-        dense[text, at] = count
-        for c in range(0, len(known), 8192):
-            out[a:b] += dense[:, c : c + 8192] @ gram_vectors(known[c : c + 8192])
+        text, code, count, letters = trigrams(data, offsets[a : b + 1])
+        if not len(text):
+            continue
+        vectors = letter_vectors(letters)
+        lo = 0
+        while lo < len(text):
+            first = text[lo]
+            hi = min(np.searchsorted(text, first + TEXTS), lo + CELLS)
+            known, at = np.unique(code[lo:hi], return_inverse=True)
+            dense = np.zeros((int(text[hi - 1] - first) + 1, len(known)), np.float32)
+            dense[text[lo:hi] - first, at] = count[lo:hi]
+            for c in range(0, len(known), 4096):
+                k = known[c : c + 4096]
+                out[a + first : a + first + len(dense)] += dense[:, c : c + 4096] @ gram_vectors(k >> 40, k >> 20 & 0xFFFFF, k & 0xFFFFF, vectors)
+            lo = hi
     return out
 
 
@@ -133,9 +143,9 @@ def identify(docs: DataFrame, min_cosine: float = 0.12, min_margin: float = 0.01
     """(doc_id, language, cosine, margin, accepted) for every row of docs (doc_id, text, lang).
 
     A text is accepted if its best cosine reaches min_cosine and leads the second by min_margin. Null, empty and
-    letterless texts have cosine 0 and are rejected (language null). A null lang only keeps a row out of the sample; a null doc_id is
+    letterless texts have cosine 0 and are rejected (language null), and so are texts of fewer than three letters and gaps. A null lang only keeps a row out of the sample; a null doc_id is
     carried along; repeated rows are judged each; equal cosines go to the first language by name. With no labelled
-    row nothing is known and every text is rejected. Texts are used whole. Other columns are ignored.
+    row nothing is known and every text is rejected. An empty table gives no row. Texts are used whole, in bounded memory. Other columns are ignored.
     """
     ship(docs.sparkSession)
     known = prototypes(docs, sample_per_language) if profiles is None else profiles
@@ -156,7 +166,11 @@ def identify(docs: DataFrame, min_cosine: float = 0.12, min_margin: float = 0.01
 
 
 def accepted(docs: DataFrame, min_cosine: float = 0.12, min_margin: float = 0.01, sample_per_language: int = 300) -> DataFrame:
-    """The rows of docs, with all their columns, that identify() accepts: decided row by row, without a join or shuffle."""
+    """The rows of docs, with all their columns, that identify() accepts: decided row by row, without a join or shuffle.
+
+    Null, empty and letterless texts go; a null doc_id or lang alone doesn't make a row go; of repeated rows all stay or go; an empty table gives no row.
+    Other columns, whatever their names, are carried along.
+    """
     ship(docs.sparkSession)
     known = prototypes(docs, sample_per_language)
     names, matrix = list(known), np.array(list(known.values()), np.float64)
@@ -167,4 +181,5 @@ def accepted(docs: DataFrame, min_cosine: float = 0.12, min_margin: float = 0.01
             ok = judge(batch.column(at), names, matrix, min_cosine, min_margin)[3] if names else np.zeros(batch.num_rows, bool)
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    flat = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # names may clash
+    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
