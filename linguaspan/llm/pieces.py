@@ -1,10 +1,12 @@
-"""SentencePiece encoding and decoding of texts of any length by the merges of a BPE model.
+"""SentencePiece encoding and decoding of texts of any length by the merges of a BPE model: a max-plus parallel scan over a document's chunks.
 
-The ids are those that the library gives for the whole text with the model file as it is. A merge makes a piece, so none can
-cross a place whose two characters stand side by side in no piece; the merges on either side of such a place don't depend on
-each other. Texts are cut only there: those longer than `segment_chars` into segments for many tasks, and within a task into
-chunks. Where there is no such place (a run of one letter, say) a part is as long as it has to be.
+The ids are those that the library gives for the whole text with the model file as it is. What merging gives for a text is the one row of pieces of which
+every two neighbours stay as they are when they are merged alone; so it is a path in a graph of pieces whose steps weigh 0 or minus infinity, and
+neither depends on more than two pieces. The state at a boundary is the piece that reaches it or crosses it, and how far. A chunk's transfer matrix
+says from which state before it which state after it is reached. Matrices are combined associatively, in a tree; down the tree each
+chunk gets the two states between which it is then backtraced, independently of the others. A boundary may stand anywhere.
 
+Documents of one chunk are given to the library, cut where no two neighbours stand in a piece: there only one state can be.
 Unknown characters fall back to bytes. Decoding gives back the exact text.
 """
 
@@ -27,6 +29,8 @@ from .textops import utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 512
+START = -(1 << 30)  # the state before a text
+State = tuple[int, int]  # a piece, and how far beyond the boundary it ends
 
 
 def load_model(path: str = MODEL) -> bytes:
@@ -52,7 +56,11 @@ class Coder:
         m = pb.ModelProto.FromString(model)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.inner = {p.piece[i : i + 2] for p in m.pieces if p.type == 1 for i in range(len(p.piece) - 1)}
-        self.scores = np.array([p.score for p in m.pieces], np.float64)
+        self.text = {i: p.piece for i, p in enumerate(m.pieces) if p.type == 1}
+        self.known = {c for x in self.text.values() for c in x}
+        self.longest = max(map(len, self.text.values()))
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self._matcher = None
         texts = []
         self.byte_id = np.full(256, -1)
         for i, p in enumerate(m.pieces):
@@ -67,12 +75,13 @@ class Coder:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
     def prepare(self, text: str) -> tuple[str, str | None]:
-        """The text with a blank before it, if it isn't empty, and marks for blanks, and what stands for a mark that was in it."""
+        """The text with a blank before it, if it isn't empty, and marks for blanks, and what stands for a mark that was in it: a character that is in neither the text nor a piece."""
         stand = None
         if not text:
             return text, stand
         if SPACE in text:
-            stand = next(chr(c) for c in chain(range(0xFDD0, 0xFDF0), range(0xE000, 0xF900)) if chr(c) not in text)
+            used = set(text)
+            stand = next(c for c in map(chr, chain(range(0xFDD0, 0xFDF0), range(0xE000, 0xF900), range(0xFFFD, 0xF8FF, -1), range(0x10000, 0x110000))) if c not in used and c not in self.known)
             text = text.replace(SPACE, stand)
         return (" " + text).replace(" ", SPACE), stand
 
@@ -114,12 +123,95 @@ class Coder:
         """Put the bytes of the mark for blanks where its stand-in was encoded, as bytes."""
         mark = self.byte_id[list(SPACE.encode())]
         out = [flat[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:])]
-        for ids, stand in zip(out, stands):
-            if stand:
-                code = self.byte_id[list(stand.encode())]
-                at = np.flatnonzero((ids[:-2] == code[0]) & (ids[1:-1] == code[1]) & (ids[2:] == code[2])) if len(ids) > 2 else np.zeros(0, int)
-                ids[at], ids[at + 1], ids[at + 2] = mark
-        return np.concatenate(out) if out else flat, offsets
+        for i, stand in enumerate(stands):
+            if stand and len(out[i]):
+                ids, code = out[i], self.byte_id[list(stand.encode())]
+                n = len(code)  # 3 or 4 bytes
+                at = np.flatnonzero(np.all([ids[k : len(ids) - n + 1 + k] == code[k] for k in range(n)], axis=0))
+                ids[at[:, None] + np.arange(3)] = mark
+                out[i] = np.delete(ids, at + 3) if n > 3 else ids
+        sizes = [len(x) for x in out]
+        return np.concatenate(out) if out else flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def spelled(self, piece: int) -> list[int]:
+        """A piece's ids: itself, or the bytes of a character that is no piece, which is given as minus its code point."""
+        return [piece] if piece >= 0 else self.byte_id[list(chr(-piece).encode())].tolist()
+
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether two pieces stay as they are when they stand side by side. a may be START."""
+        if a == START:
+            return True
+        ok = self.pairs.get((a, b))
+        if ok is None:
+            if len(self.pairs) > 1 << 20:
+                self.pairs.clear()
+            texts = [self.text[x] if x >= 0 else chr(-x) for x in (a, b)]
+            ok = self.pairs[a, b] = self.sp.encode(texts[0] + texts[1]) == self.spelled(a) + self.spelled(b)
+        return ok
+
+    def matches(self, text: str) -> list[list[tuple[int, int]]]:
+        """(length, piece) of all pieces that begin at each place."""
+        import ahocorasick
+
+        if self._matcher is None:
+            self._matcher = ahocorasick.Automaton()
+            for i, x in self.text.items():
+                self._matcher.add_word(x, (len(x), i))
+            self._matcher.make_automaton()
+        out: list[list[tuple[int, int]]] = [[] if c in self.known else [(1, -ord(c))] for c in text]
+        for end, (size, piece) in self._matcher.iter(text):
+            out[end - size + 1].append((size, piece))
+        for i, c in enumerate(text):  # a character that stands in pieces, but is none
+            if c in self.known and not any(size == 1 for size, _ in out[i]):
+                out[i].append((1, -ord(c)))
+        return out
+
+    def walk(self, found: list[list[tuple[int, int]]], begin: int, piece: int, end: int, earlier: list[tuple[int, dict[int, int]]] = ()) -> dict[int, int]:
+        """From a piece that ends at `begin`: the last piece of the path to each place, up to the places that pieces which begin before `end` reach.
+
+        A place has one path at most. Where the paths from an earlier walk are the same over the longest piece's length, they stay the same.
+        """
+        last, same = {begin: piece}, [0] * len(earlier)
+        for i in range(begin, end):
+            c = last.get(i)
+            for k, (_, other) in enumerate(earlier):
+                same[k] = same[k] + 1 if other.get(i) == c else 0
+                if same[k] > self.longest:
+                    return {x: v for x, v in other.items() if x > i} | {x: v for x, v in last.items() if x <= i}
+            if c is not None:
+                for size, b in found[i]:
+                    if self.neighbours(c, b):
+                        last[i + size] = b
+        return last
+
+    def transfer(self, text: str, left: int, right: int, first: bool) -> dict[State, set[State]]:
+        """The states behind text[left:len - right] that each state before it leads to; the rest of text is what pieces that cross a border may have."""
+        found, end = self.matches(text), len(text) - right
+        if first:
+            entries = [(left, START)]
+        else:
+            entries = sorted({(i + size, piece) for i in range(left) for size, piece in found[i] if i + size >= left})
+        out: dict[State, set[State]] = {}
+        walks: list[tuple[int, dict[int, int]]] = []
+        for at, piece in entries:
+            last = self.walk(found, at, piece, end, walks)
+            walks.append((at, last))
+            out[piece, at - left] = {(p, i - end) for i, p in last.items() if i >= end and (p, i) != (piece, at)} if at < end else {(piece, at - end)}
+        return out
+
+    def size_of(self, piece: int) -> int:
+        return len(self.text[piece]) if piece >= 0 else 1
+
+    def backtrace(self, text: str, left: int, right: int, entry: State, leave: State) -> np.ndarray:
+        """The ids of the pieces between two states: of those that begin in text[left:len - right]."""
+        end = len(text) - right
+        last = self.walk(self.matches(text), left + entry[1], entry[0], end)
+        i, piece, path = end + leave[1], leave[0], []
+        while (i, piece) != (left + entry[1], entry[0]):
+            path.append(piece)
+            i -= self.size_of(piece)
+            piece = last[i]
+        return np.array([x for p in reversed(path) for x in self.spelled(p)], np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that was encoded."""
@@ -128,6 +220,32 @@ class Coder:
         return self.bytes[np.repeat(self.begin[ids], size) + place].tobytes()[1:]
 
 
+def combine(one: dict[State, set[State]], two: dict[State, set[State]]) -> dict[State, set[State]]:
+    """The transfer of two neighbouring chunks: the max-plus product of matrices of 0 (what is there) and minus infinity. Associative."""
+    return {a: set().union(*[two.get(m, set()) for m in mid]) for a, mid in one.items()}
+
+
+def states(transfers: list[dict[State, set[State]]]) -> list[tuple[State, State]]:
+    """For each chunk the states before and behind it on the one path from START to the text's end: products up a tree, and down it the states between."""
+    levels = [transfers]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([combine(low[i], low[i + 1]) if i + 1 < len(low) else low[i] for i in range(0, len(low), 2)])
+    start = (START, 0)
+    (end,) = [s for s in levels[-1][0][start] if s[1] == 0]
+    spans = [(start, end)]
+    for low in reversed(levels[:-1]):
+        below: list[tuple[State, State]] = []
+        for i, (a, z) in enumerate(spans):
+            if 2 * i + 1 < len(low):
+                (mid,) = [m for m in low[2 * i].get(a, ()) if z in low[2 * i + 1].get(m, ())]
+                below += [(a, mid), (mid, z)]
+            else:
+                below.append((a, z))
+        spans = below
+    return spans
+
+
 _coders: dict[str, Coder] = {}
 
 
@@ -147,9 +265,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
     """(doc_id, n_tokens, ids, exact) for every row of docs (doc_id, text); exact: the ids were decoded again and gave the text.
 
     The ids are those of the library's encode() with the unaltered model, but for texts that hold the mark U+2581 itself: the library makes it a
-    blank, which can't be decoded exactly; here it is given as its bytes. A null text has null ids, no tokens and a null exact; an empty text
-    has no ids. A null doc_id is carried along, repeated rows are encoded each, other columns are ignored.
+    blank, which can't be decoded exactly; here it is given as its bytes.
+    A null text has null ids, no tokens and a null exact; an empty text has no ids. A null doc_id is carried along, repeated rows are encoded each, an empty
+    table gives no row, other columns are ignored. Texts of more than segment_chars characters are cut into chunks of that size.
     """
+    if segment_chars < 64:
+        raise ValueError("a chunk must be longer than any piece")
     spark = docs.sparkSession
     ship(spark)
     model = load_model(model_path)
@@ -172,27 +293,49 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
                 yield pa.record_batch([part.column("doc_id"), counts, ids, pa.array(exact, pa.bool_())], names=schema.names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each segment."""
+        """Each chunk, with as much of its neighbours as a piece can have."""
         coder = _coder(shared)
         for batch in batches:
             for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist()):
                 ready, stand = coder.prepare(text)
-                at = 0
-                for k, end in enumerate(coder.cuts(ready, segment_chars)):
-                    yield pa.record_batch([pa.array([v], t) for v, t in ((key, pa.int64()), (k, pa.int32()), (stand, pa.string()), (ready[at:end], pa.string()))], names=["key", "k", "stand", "part"])
-                    at = end
+                for k, at in enumerate(range(0, len(ready), segment_chars)):
+                    lo, hi = max(0, at - coder.longest), at + segment_chars + coder.longest
+                    cells = (key, k, stand, ready[lo:hi], at - lo, max(0, min(hi, len(ready)) - (at + segment_chars)))
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(cells, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["key", "k", "stand", "part", "left", "right"])
+
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's transfer matrix."""
+        coder = _coder(shared)
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows_ = [(*a, *z) for a, out in coder.transfer(r["part"], r["left"], r["right"], r["k"] == 0).items() for z in sorted(out)]
+                cells = np.array(rows_, np.int32).reshape(-1, 4)
+                yield pa.record_batch([pa.array([r["key"]], pa.int64()), pa.array([r["k"]], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["key", "k", "matrix"])
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A document's matrices, a few hundred bytes a chunk, to the states before and behind each chunk."""
+        pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)  # repeated rows gave the same chunks
+        matrices = []
+        for cell in pdf["matrix"]:
+            m: dict[State, set[State]] = {}
+            for a, b, c, d in np.frombuffer(cell, np.int32).reshape(-1, 4).tolist():
+                m.setdefault((a, b), set()).add((c, d))
+            matrices.append(m)
+        found = np.array([(*a, *z) for a, z in states(matrices)], np.int32).reshape(-1, 4)
+        return pd.DataFrame({"key": pdf["key"], "k": pdf["k"], **{c: found[:, i] for i, c in enumerate(("in_piece", "in_over", "out_piece", "out_over"))}})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each segment."""
+        """The ids of each chunk, between its states."""
         coder = _coder(shared)
         for batch in batches:
-            ids = _lists(*coder.encode_ready(batch.column("part").to_pylist(), chunk))
-            yield pa.record_batch([*[batch.column(c) for c in ("key", "k", "stand")], ids], names=["key", "k", "stand", "ids"])
+            ids = [coder.backtrace(r["part"], r["left"], r["right"], (r["in_piece"], r["in_over"]), (r["out_piece"], r["out_over"])) for r in batch.to_pylist()]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            yield pa.record_batch([*[batch.column(c) for c in ("key", "k", "stand")], _lists(flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]))], names=["key", "k", "stand", "ids"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Put the ids of a document's segments in a row."""
+        """Put the ids of a document's chunks in a row."""
         coder = _coder(shared)
-        pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)  # repeated rows gave the same segments
+        pdf = pdf.drop_duplicates("k").sort_values("k", ignore_index=True)
         flat = np.concatenate([np.asarray(x, np.int32) for x in pdf["ids"]])
         flat, _ = coder.restore(flat, np.array([0, len(flat)]), [pdf["stand"].iloc[0]])
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_tokens": [len(flat)], "ids": [flat], "text_again": [coder.decode(flat).decode("utf-8", "replace")]})
@@ -200,8 +343,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, segment_chars: int = 1 << 1
     giant = F.coalesce(F.length("text"), F.lit(0)) > segment_chars
     small = rows.where(~giant).mapInArrow(whole, schema)
     large = rows.where(giant).withColumn("key", F.xxhash64("doc_id", "text"))
-    kind = "key bigint, k int, stand string"
-    segments = large.mapInArrow(split, kind + ", part string").repartition("key", "k")
-    solved = segments.mapInArrow(solve, kind + ", ids array<int>")
+    chunks = large.mapInArrow(split, "key bigint, k int, stand string, part string, left int, right int").repartition("key", "k")
+    matrices = chunks.mapInArrow(transfers, "key bigint, k int, matrix binary")
+    spans = matrices.groupBy("key").applyInPandas(between, "key bigint, k int, in_piece int, in_over int, out_piece int, out_over int")
+    solved = chunks.join(spans, ["key", "k"]).mapInArrow(solve, "key bigint, k int, stand string, ids array<int>")
     done = solved.groupBy("key").applyInPandas(join, "key bigint, n_tokens bigint, ids array<int>, text_again string")
     return small.unionByName(large.join(done, "key").select("doc_id", "n_tokens", "ids", (F.col("text_again") == F.col("text")).alias("exact")))
