@@ -1,9 +1,10 @@
 """Line sequence labelling: a linear-chain conditional random field marks lines content or boilerplate.
 
 The field has two labels (0 boilerplate, 1 content), a weight for each line feature and label, and weights for
-the first label and each transition. It is trained on a bounded sample of labelled documents, whose label holds
-for all their lines; Viterbi decoding then labels every line of every document, and the share of bytes in
-content lines decides whether a document stays.
+the first label and each transition. It is trained on a bounded sample of documents labelled good or poor; the labels of
+their lines are latent. They are estimated in rounds: first line by line, from how often such lines stand in good and in poor documents,
+then by the field itself, so that a poor document may have lines of content and a good one boilerplate, and transitions are learnt
+from both. Viterbi decoding then labels every line of every document, and the share of bytes in content lines decides whether a document stays.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import pick, ship
-from .textops import BYTE, _powers, mix, portions, utf8
+from .textops import BYTE, _powers, mix, portions, utf8, word_hashes, words
 
 U = np.uint64
-FEATURES = ("bias", "short", "long", "letters", "digits", "capitals", "symbols", "bars", "marks_per_word", "word_length", "ends_sentence", "repeated", "first", "last")
+FEATURES = ("bias", "short", "long", "letters", "digits", "capitals", "symbols", "bars", "marks_per_word", "word_length", "ends_sentence", "repeated", "first", "last", "echoes")
 
 
 def _class(chars: str) -> np.ndarray:
@@ -85,10 +86,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     full = np.flatnonzero(np.diff(bounds) > 0)
     first[bounds[full]] = 1
     last[bounds[full + 1] - 1] = 1
+    word, word_ends, _ = words(data, offsets)
+    tokens = word_hashes(data, word, word_ends)
+    line = np.searchsorted(begins, word, "right") - 1
+    echo = np.flatnonzero((tokens[1:] == tokens[:-1]) & (line[1:] == line[:-1]))
+    echoes = np.bincount(line[echo], minlength=len(size)) / np.maximum(np.bincount(line, minlength=len(size)), 1)
     x = np.column_stack([
         np.ones(len(size)), size < 25, np.minimum(np.log1p(size) / 8, 1.5), letter / solid, count(_DIGIT) / solid, count(_UPPER) / np.maximum(letter, 1),
         count(_SYMBOL) / solid, np.minimum(count(_BAR) / word_count, 1), np.minimum(count(_LOUD) / word_count, 1), np.minimum(solid / word_count / 10, 2),
-        _STOP[data[ends - 1]], repeated, first, last,
+        _STOP[data[ends - 1]], repeated, first, last, echoes,
     ])
     return x, size, bounds
 
@@ -105,7 +111,7 @@ class Field:
 def untrained() -> Field:
     """For corpora without labels of both kinds: symbols, bars, shouting, capitals and repeats speak for boilerplate."""
     w = np.zeros((2, len(FEATURES)))
-    w[1] = [2.0, -0.3, 0, 1.0, -3.0, -3.0, -15.0, -6.0, -6.0, 0, 0.5, -1.5, 0, 0]
+    w[1] = [2.0, -0.3, 0, 1.0, -3.0, -3.0, -15.0, -6.0, -6.0, 0, 0.5, -1.5, 0, 0, -6.0]
     return Field(w, np.zeros(2), np.array([[0.8, -0.8], [-0.8, 0.8]]))
 
 
@@ -146,8 +152,21 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by Adam with exact forward-backward gradients; labels: one for each line."""
+def lines_alone(x: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic model of single lines, both labels of equal weight together, by Newton's method."""
+    share = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (share * (labels - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 150, ridge: float = 1e-4, weights: np.ndarray | None = None) -> Field:
+    """Maximum conditional likelihood by Adam with exact forward-backward gradients; labels: one for each line; weights: to begin with."""
     order, live = _steps(bounds)
     base = bounds[:-1][order]
     n_lines, gold = len(x), np.eye(2)[labels]
@@ -156,7 +175,7 @@ def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 1
     gold_moves = np.zeros((2, 2))
     at = np.flatnonzero(inner)
     np.add.at(gold_moves, (labels[at - 1], labels[at]), 1)
-    p = [np.zeros((2, x.shape[1])), np.zeros(2), np.zeros((2, 2))]
+    p = [np.zeros((2, x.shape[1])) if weights is None else weights, np.zeros(2), np.zeros((2, 2))]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for i in range(1, rounds + 1):
         score = x @ p[0].T
@@ -181,8 +200,38 @@ def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 1
     return Field(*p)
 
 
+def latent(x: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, good: np.ndarray, rounds: int = 3) -> Field:
+    """A field for lines of which only their documents' labels are known. good: of each document; sizes: bytes of each line.
+
+    The first labels are those of a field without transitions; then fields are trained on what the last one says, but for the lines that it makes
+    contradict their document: of a document's lines, those of least score are boilerplate until half of a poor one's bytes are, and those of highest score are
+    content until half of a good one's are.
+    """
+    document = np.repeat(np.arange(len(good)), np.diff(bounds))
+    weights = lines_alone(x, good[document].astype(np.int64))
+    field = Field(np.stack([-weights / 2, weights / 2]), np.zeros(2), np.zeros((2, 2)))
+    for _ in range(rounds):
+        score = x @ (field.weights[1] - field.weights[0])
+        labels = viterbi(x, bounds, field).astype(np.int64)
+        rank = np.where(good[document], -score, score)  # what first becomes the document's own label
+        order = np.lexsort((np.arange(len(x)), rank, document))
+        before = np.cumsum(sizes[order]) - sizes[order]
+        before -= before[bounds[:-1]][document[order]] if len(order) else 0  # the order keeps documents in place
+        total = np.bincount(document, sizes, len(good))
+        sure = np.empty(len(x), bool)
+        sure[order] = before < total[document[order]] / 2
+        labels = np.where(sure, good[document], labels).astype(np.int64)
+        weights = lines_alone(x, labels)
+        field = train(x, bounds, labels, 60, weights=np.stack([-weights / 2, weights / 2]))
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> Field:
-    """A field trained on the `sample_docs` labelled documents of least hash: the documented bound of the sample."""
+    """A field trained on the `sample_docs` labelled documents of least hash: the documented bound of the sample.
+
+    A null doc_id or quality is no label; of a doc_id's labels the lowest counts, and repeated rows of a document each do. Null and empty texts have no lines. Without labelled
+    lines of both kinds (empty tables too) the field is untrained().
+    """
     ship(docs.sparkSession)
     marks = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -191,16 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            x, _, bounds = features(data, offsets)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array([x[a:b].astype(np.float32).ravel().tolist() for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
-
-    found = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("quality", rows.schema["quality"].dataType), T.StructField("x", T.ArrayType(T.FloatType()))])).collect()
-    found = sorted((r for r in found if r["x"]), key=lambda r: r["doc_id"])
-    if len({r["quality"] > 0 for r in found}) < 2:
+            x, size, bounds = features(data, offsets)
+            x = np.column_stack([x, size])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["doc_id", "quality", "x"])
+
+    found = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("quality", rows.schema["quality"].dataType), T.StructField("x", T.BinaryType())])).collect()
+    found = sorted((r for r in found if r["x"]), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    good = np.array([r["quality"] > 0 for r in found], bool)
+    if len(set(good.tolist())) < 2:
         return untrained()
-    parts = [np.asarray(r["x"], np.float64).reshape(-1, len(FEATURES)) for r in found]
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return train(np.concatenate(parts), bounds, np.repeat([int(r["quality"] > 0) for r in found], np.diff(bounds)))
+    parts = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES) + 1) for r in found]
+    x = np.concatenate(parts).astype(np.float64)
+    return latent(x[:, :-1], x[:, -1], np.concatenate([[0], np.cumsum([len(p) for p in parts])]), good)
 
 
 def label_lines(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:
@@ -208,7 +259,7 @@ def label_lines(docs: DataFrame, field: Field, min_share: float = 0.5) -> DataFr
 
     content_share is the share of bytes in lines marked content; a document is retained if it reaches min_share.
     Blank lines are no lines. A null or empty text has no line, share 0, and is not retained. A null doc_id is carried
-    along, repeated rows are judged each, ties in decoding go to boilerplate, other columns are ignored. Texts are used whole.
+    along, repeated rows are judged each, ties in decoding go to boilerplate, other columns are ignored. An empty table gives no row. Texts are used whole.
     """
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
