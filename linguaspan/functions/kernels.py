@@ -142,23 +142,34 @@ def span_targets(links: Sequence[tuple[int, int]], begin: int, end: int) -> list
 
 def phrases(n_s: int, n_t: int, links: Sequence[tuple[int, int]], longest: int = 7) -> list[tuple[int, int, int, int]]:
     """Consistent phrase pairs (s begin, s end, t begin, t end), ends inclusive, of at most `longest` words a side before the extension over unaligned border words."""
-    has_s, has_t = {s for s, _ in links}, {t for _, t in links}
+    to: list[list[int]] = [[] for _ in range(n_s)]
+    low, high = [n_s] * n_t, [-1] * n_t  # of each target word, the first and the last source word
+    for i, j in links:
+        if 0 <= i < n_s and 0 <= j < n_t:
+            to[i].append(j)
+            low[j], high[j] = min(low[j], i), max(high[j], i)
+    free_s, free_t = [not x for x in to], [h < 0 for h in high]
+    before_s, after_s, before_t, after_t = ([0] * (n + 1) for n in (n_s, n_s, n_t, n_t))  # how many free words stand before and after each place
+    for free, before, after in ((free_s, before_s, after_s), (free_t, before_t, after_t)):
+        for k, f in enumerate(free):
+            before[k + 1] = before[k] + 1 if f else 0
+        for k in range(len(free) - 1, -1, -1):
+            after[k] = after[k + 1] + 1 if free[k] else 0
     out = set()
     for a in range(n_s):
+        c, d = n_t, -1
         for b in range(a, min(n_s, a + longest)):
-            own = [t for s, t in links if a <= s <= b]
-            if not own:
+            if to[b]:
+                c, d = min(c, *to[b]), max(d, *to[b])
+            if d < 0:
                 continue
-            c, d = min(own), max(own)
-            if d - c >= longest or any(c <= t <= d and not a <= s <= b for s, t in links):
+            if d - c >= longest:
+                break
+            if min(low[c : d + 1]) < a:
+                break  # a longer span doesn't mend that
+            if max(high[c : d + 1]) > b:
                 continue
-            grow = []
-            for at, step, stop, has in ((a, -1, -1, has_s), (b, 1, n_s, has_s), (c, -1, -1, has_t), (d, 1, n_t, has_t)):
-                way = [at]
-                while way[-1] + step != stop and way[-1] + step not in has:
-                    way.append(way[-1] + step)
-                grow.append(way)
-            out |= {(x, y, z, w) for x in grow[0] for y in grow[1] for z in grow[2] for w in grow[3]}
+            out.update((x, y, z, w) for x in range(a - before_s[a], a + 1) for y in range(b, b + after_s[b + 1] + 1) for z in range(c - before_t[c], c + 1) for w in range(d, d + after_t[d + 1] + 1))
     return sorted(out)
 
 

@@ -16,44 +16,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, pick, ship
-from .repeats import anchored, at_hits, buckets_of, contexts, islands, read_texts, recurring, suffix_sort
+from .repeats import among, buckets_of, by_shard, cells, contexts, islands, read_texts, recurring_by_shard, suffix_sort
 
+KIND = pa.schema([("lead", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("context", pa.binary())])
 SCHEMA = "lead bigint, h bigint, doc_id bigint, at int, context binary"
 
 
-def duplicates(docs: DataFrame, min_words: int = 50, **limits: int) -> DataFrame:
+def duplicates(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, start_word, end_word, first_copy): maximal spans of words that lie in windows of min_words words which stand in two documents at least.
 
     first_copy: no document of lower doc_id has these windows; spans that aren't first copies can be removed without losing
     a text. Words are separated by white space; texts of fewer than min_words words have no window. Null and empty texts and
     rows with a null doc_id are left out; rows of one doc_id are one document, so repeated rows are no repeats. An empty table
-    gives no row. Other columns are ignored.
+    gives no row. Texts are used whole, however long. Other columns are ignored.
     """
     if min_words < 8:
         raise ValueError("min_words must be 8 at least")
     length = (min_words + 1) // 2
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    shared = recurring(rows, read_texts, length)
-    back = min_words - length
-
-    def emit(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        for batch, part, at, h in parts:
-            ids = batch.column("doc_id").to_numpy()
+    sharded, back = by_shard(rows), min_words - length
+
+    def emit(table: pa.Table, known: pa.Table) -> pa.Table:
+        anchors = np.sort(cells(known.column("c0"), np.uint64)[0])
+        ids, out = np.asarray(table.column("doc_id")), [pa.table({f.name: pa.array([], f.type) for f in KIND}, KIND)]
+        for part in read_texts(table) if len(anchors) else ():
+            at, h = part.anchors(length)
+            ok = among(anchors, h)
+            at, h = at[ok], h[ok]
             for lo in range(0, len(at), 1 << 14):
                 a = at[lo : lo + (1 << 14)]
                 text = part.text_of(a)
                 c = _slice(part, at, lo, length, min_words)
                 lead = (c[:, back].astype(np.int64) << 31) | (c[:, back + 1] >> 1)
                 packed = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(np.arange(len(c) + 1, dtype=np.int32) * np.int32(c.shape[1] * 4)), pa.py_buffer(np.ascontiguousarray(c))])
-                yield pa.record_batch([pa.array(lead), pa.array(h[lo : lo + (1 << 14)].view(np.int64)), pa.array(ids[part.a + text]), pa.array((a - part.bounds[text]).astype(np.int32)), packed], names=["lead", "h", "doc_id", "at", "context"])
+                out.append(pa.table([pa.array(lead), pa.array(h[lo : lo + (1 << 14)].view(np.int64)), pa.array(ids[part.a + text]), pa.array((a - part.bounds[text]).astype(np.int32)), packed], KIND))
+        return pa.concat_tables(out)
 
-    # written, so that sampling the splitters doesn't read the texts again
-    suffixes = cut(at_hits(rows, read_texts, anchored(length), shared, emit, SCHEMA, **limits))
+    # Spark samples the splitters from the suffixes; the texts' shuffle, on which these rest, is there by then
+    suffixes = sharded.groupBy("_shard").cogroup(recurring_by_shard(sharded, length, buckets_of(docs)).groupBy("shard")).applyInArrow(emit, SCHEMA)
     ranged = suffixes.repartitionByRange(buckets_of(docs), "lead", "h", "doc_id")
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        batches = list(batches)
+        table = pa.Table.from_batches(batches) if batches else None
         if table is None or not table.num_rows:
             return
         width = back + min_words

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import kernels as K
 from ..runtime import ship
 
 
-def lexical(pairs: DataFrame) -> DataFrame:
-    """(s, t, n, s2t, t2s): links counted by words, words without a link by NULL; s2t is n over t's total, t2s n over s's. Links out of range are ignored."""
+def lexical(pairs: DataFrame, digits: int | None = 7) -> DataFrame:
+    """(s, t, n, s2t, t2s), rounded to so many digits: links counted by words, words without a link by NULL; s2t is n over t's total, t2s n over s's. Links out of range are ignored."""
     ok = F.filter("links", lambda p: (p["s"] < F.size("src")) & (p["t"] < F.size("tgt")))
     rows = pairs.select("src", "tgt", ok.alias("links"))
     linked = rows.select(F.explode(F.transform("links", lambda p: F.struct(F.get("src", p["s"]).alias("s"), F.get("tgt", p["t"]).alias("t")))).alias("p")).select("p.s", "p.t")
@@ -19,27 +24,59 @@ def lexical(pairs: DataFrame) -> DataFrame:
     free_s = rows.select(F.explode(F.filter(F.transform("src", lambda w, i: F.when(~F.exists("links", lambda p: p["s"] == i), w)), lambda w: w.isNotNull())).alias("s")).select("s", F.lit("NULL").alias("t"))
     counts = linked.unionByName(free_t).unionByName(free_s).groupBy("s", "t").agg(F.count("*").alias("n"))
     by_s, by_t = (counts.groupBy(c).agg(F.sum("n").alias(f"of_{c}")) for c in ("s", "t"))
-    return counts.join(by_s, "s").join(by_t, "t").select("s", "t", "n", F.round(F.col("n") / F.col("of_t"), 7).alias("s2t"), F.round(F.col("n") / F.col("of_s"), 7).alias("t2s"))
+    cut = lambda c: c if digits is None else F.round(c, digits)
+    return counts.join(by_s, "s").join(by_t, "t").select("s", "t", "n", cut(F.col("n") / F.col("of_t")).alias("s2t"), cut(F.col("n") / F.col("of_s")).alias("t2s"))
 
 
 def phrase_pairs(pairs: DataFrame, longest: int = 7) -> DataFrame:
     """(pair_id, s_begin, s_end, t_begin, t_end, src_phrase, tgt_phrase), ends inclusive."""
     ship(pairs.sparkSession)
-    find = K.arrow(lambda s, t, a: [{"s_begin": p[0], "s_end": p[1], "t_begin": p[2], "t_end": p[3]} for p in K.phrases(len(s), len(t), [(x["s"], x["t"]) for x in a], longest)], "array<struct<s_begin:int,s_end:int,t_begin:int,t_end:int>>")
-    out = pairs.withColumn("p", F.explode(find("src", "tgt", "links")))
-    cut = lambda words, b, e: F.array_join(F.slice(words, F.col(b) + 1, F.col(e) - F.col(b) + 1), " ")
-    return out.select("pair_id", "p.*", cut("src", "p.s_begin", "p.s_end").alias("src_phrase"), cut("tgt", "p.t_begin", "p.t_end").alias("tgt_phrase"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (src, tgt, links) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("src", "tgt", "links")])):
+                found = K.phrases(len(src or ()), len(tgt or ()), [(x["s"], x["t"]) for x in links or ()], longest)
+                for lo in range(0, len(found), 1 << 16):
+                    part = found[lo : lo + (1 << 16)]
+                    spans = np.array(part, np.int32)
+                    texts = [[{}, src, 0, 1], [{}, tgt, 2, 3]]
+                    for text in texts:
+                        known, words, x, y = text
+                        for p in part:
+                            if (p[x], p[y]) not in known:
+                                known[p[x], p[y]] = " ".join(words[p[x] : p[y] + 1])
+                        text.append(pa.array([known[p[x], p[y]] for p in part], pa.string()))
+                    yield pa.record_batch([batch.column("pair_id").take(pa.array(np.full(len(part), k))), *[pa.array(spans[:, i]) for i in range(4)], texts[0][-1], texts[1][-1]], names=schema.names)
+
+    schema = T.StructType([pairs.schema["pair_id"], *T._parse_datatype_string("s_begin int, s_end int, t_begin int, t_end int, src_phrase string, tgt_phrase string")])
+    return pairs.select("pair_id", "src", "tgt", "links").mapInArrow(run, schema)
+
+
+def _position_weights(pairs: DataFrame, table: DataFrame, own: str, other: str, weight: str) -> DataFrame:
+    """(pair_id, weights): for each word of a side the mean weight of its links, or that of NULL if it has none."""
+    each = pairs.select("pair_id", F.posexplode(own).alias("k", "w"), "links", other)
+    side, far = ("s", "t") if own == "src" else ("t", "s")
+    mates = F.transform(F.filter("links", lambda p: p[side] == F.col("k")), lambda p: F.get(other, p[far]))
+    each = each.select("pair_id", "k", F.col("w").alias(side), F.explode(F.when(F.size(mates) > 0, mates).otherwise(F.array(F.lit("NULL")))).alias(far))
+    means = each.join(table.select("s", "t", weight), ["s", "t"], "left").groupBy("pair_id", "k").agg(F.avg(F.coalesce(weight, F.lit(0.0))).alias("v"))
+    return means.groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(f"_{own}"))
 
 
 def phrase_table(pairs: DataFrame, longest: int = 7) -> DataFrame:
-    """(src_phrase, tgt_phrase, n, p_t_given_s, p_s_given_t, lex_s2t, lex_t2s): relative frequencies both ways, and lexical weights averaged over the links' words."""
-    found = phrase_pairs(pairs, longest)
-    counts = found.groupBy("src_phrase", "tgt_phrase").agg(F.count("*").alias("n"))
+    """(src_phrase, tgt_phrase, n, p_t_given_s, p_s_given_t, lex_s2t, lex_t2s): relative frequencies both ways, and lexical weights.
+
+    A lexical weight is the product, over a side's words, of the mean weight of each word's links, or of NULL for a word without one; of a phrase pair that is
+    linked in several ways the greatest counts. All links of a consistent phrase lie inside it, so a word's weight is the same in all phrases of a sentence.
+    """
+    table = lexical(pairs, None)
+    weights = _position_weights(pairs, table, "src", "tgt", "s2t").join(_position_weights(pairs, table, "tgt", "src", "t2s"), "pair_id")
+    found = phrase_pairs(pairs, longest).join(weights, "pair_id")
+    product = lambda x, b, e: F.aggregate(F.slice(x, F.col(b) + 1, F.col(e) - F.col(b) + 1), F.lit(1.0), lambda a, v: a * v)
+    found = found.select("src_phrase", "tgt_phrase", product("_src", "s_begin", "s_end").alias("lex_s2t"), product("_tgt", "t_begin", "t_end").alias("lex_t2s"))
+    counts = found.groupBy("src_phrase", "tgt_phrase").agg(F.count("*").alias("n"), F.max("lex_s2t").alias("lex_s2t"), F.max("lex_t2s").alias("lex_t2s"))
     by_s, by_t = (counts.groupBy(c).agg(F.sum("n").alias(f"of_{c}")) for c in ("src_phrase", "tgt_phrase"))
-    table = lexical(pairs)
-    words = counts.select("src_phrase", "tgt_phrase", F.explode(F.split("src_phrase", " ")).alias("s"), F.split("tgt_phrase", " ").alias("ts")).withColumn("t", F.explode("ts")).drop("ts")
-    best = words.join(table, ["s", "t"], "left").groupBy("src_phrase", "tgt_phrase").agg(F.round(F.avg(F.coalesce("s2t", F.lit(0.0))), 7).alias("lex_s2t"), F.round(F.avg(F.coalesce("t2s", F.lit(0.0))), 7).alias("lex_t2s"))
-    return counts.join(by_s, "src_phrase").join(by_t, "tgt_phrase").join(best, ["src_phrase", "tgt_phrase"]).select("src_phrase", "tgt_phrase", "n", F.round(F.col("n") / F.col("of_src_phrase"), 7).alias("p_t_given_s"), F.round(F.col("n") / F.col("of_tgt_phrase"), 7).alias("p_s_given_t"), "lex_s2t", "lex_t2s")
+    cut = lambda c: F.round(c, 7)
+    return counts.join(by_s, "src_phrase").join(by_t, "tgt_phrase").select("src_phrase", "tgt_phrase", "n", cut(F.col("n") / F.col("of_src_phrase")).alias("p_t_given_s"), cut(F.col("n") / F.col("of_tgt_phrase")).alias("p_s_given_t"), cut("lex_s2t").alias("lex_s2t"), cut("lex_t2s").alias("lex_t2s"))
 
 
 def unfolded(pairs: DataFrame, by_source: bool = True, consecutive: bool = False) -> DataFrame:
@@ -60,8 +97,8 @@ def lcs_pairs(pairs: DataFrame) -> DataFrame:
 def masked(pairs: DataFrame, mark: str = "✖") -> DataFrame:
     """(pair_id, ratio, src, tgt): both sides with unrelated words masked."""
     ship(pairs.sparkSession)
-    f = K.arrow(lambda s, t: (lambda m: {"ratio": round(m["ratio"], 6), "src": " ".join(m["a"]), "tgt": " ".join(m["b"])})(K.mask_unrelated(list(s), list(t), mark)), "struct<ratio:double,src:string,tgt:string>")
-    return pairs.withColumn("m", f("src", "tgt")).select("pair_id", "m.*")
+    f = K.arrow(lambda s, t: (lambda m: {"ratio": m["ratio"], "src": " ".join(m["a"]), "tgt": " ".join(m["b"])})(K.mask_unrelated(list(s), list(t), mark)), "struct<ratio:double,src:string,tgt:string>")
+    return pairs.withColumn("m", f("src", "tgt")).select("pair_id", F.round("m.ratio", 6).alias("ratio"), "m.src", "m.tgt")
 
 
 def acronyms(words: DataFrame, valid: DataFrame, least: int = 1, most: int = 2) -> DataFrame:

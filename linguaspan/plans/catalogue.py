@@ -9,17 +9,18 @@ from ..functions import kernels as K
 from ..functions import text as X
 from ..operators import align, augment, clean, embed, evaluate, match, render, stats
 from ..runtime import cut, ship
+from . import sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 WORDS = "[x for x in string_split_regex({}, '[ \\t\\r\\n]+') if x <> '']"
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        if oracle:
+            ORACLE[f.__name__] = oracle
         return f
 
     return keep
@@ -192,7 +193,7 @@ def ngram_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return match.ngram_candidates(_test(spark, sf), _train(spark, sf), 5)
 
 
-@query()
+@query(sql.overlap_best(DOCS, BENCH))
 def ngram_overlap_best(spark: SparkSession, sf: str) -> DataFrame:
     return match.best_overlap(_test(spark, sf), _train(spark, sf), 5)
 
@@ -284,17 +285,17 @@ def related_targets_all(spark: SparkSession, sf: str) -> DataFrame:
     return _masks(spark, sf, X.all_linked)
 
 
-@query()
+@query(sql.phrase_pairs(LINKS))
 def phrase_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return align.phrase_pairs(token_pairs(spark, sf), 7)
 
 
-@query()
+@query(sql.phrase_table(LINKS))
 def phrase_table(spark: SparkSession, sf: str) -> DataFrame:
     return align.phrase_table(token_pairs(spark, sf), 7)
 
 
-@query()
+@query(sql.unfold_groups(LINKS))
 def unfold_groups(spark: SparkSession, sf: str) -> DataFrame:
     return align.unfolded(token_pairs(spark, sf))
 
@@ -304,12 +305,12 @@ def unfold_groups_consecutive(spark: SparkSession, sf: str) -> DataFrame:
     return align.unfolded(token_pairs(spark, sf), consecutive=True)
 
 
-@query()
+@query(sql.lcs_pairs(PARTS))
 def lcs_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return align.lcs_pairs(part_pairs(spark, sf))
 
 
-@query()
+@query(sql.mask_unrelated(PAIRS))
 def mask_unrelated(spark: SparkSession, sf: str) -> DataFrame:
     return align.masked(token_pairs(spark, sf))
 
@@ -478,7 +479,7 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.select("label", F.posexplode("embedding").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), (F.col("v") + 0.0).alias("v").alias("v"))
 
 
-@query()
+@query(sql.acronyms(VOCAB))
 def acronyms(spark: SparkSession, sf: str) -> DataFrame:
     return align.acronyms(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.tokens(F.col("p_name")).alias("words")), stats.vocabulary(documents(spark, sf)).where("idx > 0"), 1, 2)
 
@@ -497,12 +498,12 @@ def subword_merges(spark: SparkSession, sf: str) -> DataFrame:
     return embed.learn_merges(stats.word_freq(documents(spark, sf)), 32000)
 
 
-@query()
+@query(sql.link_html(LINKS))
 def link_html(spark: SparkSession, sf: str) -> DataFrame:
     p = token_pairs(spark, sf)
     return render.link_lines(p).join(render.link_matrix(p).withColumnRenamed("html", "matrix"), "pair_id")
 
 
-@query()
+@query(sql.diff_html(PAIRS))
 def diff_html(spark: SparkSession, sf: str) -> DataFrame:
     return render.differences(pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("tgt").alias("hyp"), F.col("src").alias("ref")))
