@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import pick, ship
-from .repeats import EVEN, buckets_of, by_bucket, islands, reach, read_texts
+from .repeats import among, buckets_of, by_shard, cells, heads_of, islands, pack, reach, read_texts, recurring_by_shard
 from .textops import anchors, gram_hashes, plain, portions, utf8, word_hashes, words
 
 U = np.uint64
-SHARD_BYTES = 1 << 23
 
 
 def _anchor_length(min_words: int) -> int:
@@ -34,58 +33,6 @@ def _anchor_length(min_words: int) -> int:
     return (min_words + 1) // 2
 
 
-def shards_of(rows: DataFrame) -> int:
-    """By the bytes of all texts, so that no shard grows with the corpus; several for each task in any case."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4 * buckets_of(rows) + 1, total // SHARD_BYTES + 1)
-
-
-def _cells(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """Packed numbers of all rows in a row, and how many each row has."""
-    data, offsets = utf8(column)
-    return data[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
-
-
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where a run of rows that are equal in all columns begins."""
-    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
-
-
-def _pack(x: np.ndarray, heads: np.ndarray) -> pa.Array:
-    return pa.array([x[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(x)))], pa.binary())
-
-
-def _recurring(sharded: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(shard, c0): for each shard the hashes of those of its anchors that stand in two rows at least, wherever these are."""
-
-    def collect(table: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for part in read_texts(table):
-            at, h = part.anchors(length)
-            text = part.text_of(at)
-            order = np.lexsort((h, text))
-            found.append(h[order][_heads(h[order], text[order])])
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        out = pa.Table.from_batches([by_bucket(h | (n > 1).astype(np.uint64), buckets)])
-        return out.append_column("shard", pa.array(np.full(out.num_rows, table.column("_shard")[0].as_py()), pa.int32()))
-
-    def meet(table: pa.Table) -> pa.Table:
-        h, size = _cells(table.column("c0"), np.uint64)
-        shard = np.repeat(np.asarray(table.column("shard")), size)
-        order = np.argsort(h, kind="stable")
-        h, shard = h[order], shard[order]
-        heads = _heads(h & EVEN)
-        count = np.diff(np.append(heads, len(h)))
-        ok = np.repeat((count > 1) | (h[np.append(heads[1:], len(h)) - 1] & U(1) > 0), count) if len(h) else np.zeros(0, bool)
-        h, shard = h[ok] & EVEN, shard[ok]
-        order = np.lexsort((h, shard))
-        h, shard = h[order], shard[order]
-        heads = _heads(shard)
-        return pa.table([pa.array(shard[heads], pa.int32()), _pack(h, heads)], names=["shard", "c0"])
-
-    return sharded.groupBy("_shard").applyInArrow(collect, "bucket int, c0 binary, shard int").groupBy("bucket").applyInArrow(meet, "shard int, c0 binary")
-
-
 def _windows(sharded: DataFrame, recurring: DataFrame, min_words: int, buckets: int) -> DataFrame:
     """(shard, row, start, end, home): for each shard the runs of windows of its rows that recur, from start to before end, each window once.
 
@@ -95,12 +42,12 @@ def _windows(sharded: DataFrame, recurring: DataFrame, min_words: int, buckets:
     names = ["bucket", "shard", "low", "high", "row", "start", "count", "h"]
 
     def collect(table: pa.Table, known: pa.Table) -> pa.Table:
-        anchor_table = np.sort(_cells(known.column("c0"), np.uint64)[0])
+        anchor_table = np.sort(cells(known.column("c0"), np.uint64)[0])
         ids, rows = np.asarray(table.column("doc_id")), np.asarray(table.column("_row"))
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         for part in read_texts(table) if len(anchor_table) else ():
             at, anchor = part.anchors(length)
-            ok = anchor_table[np.minimum(np.searchsorted(anchor_table, anchor), len(anchor_table) - 1)] == anchor
+            ok = among(anchor_table, anchor)
             at, anchor = at[ok], anchor[ok]
             count = reach(part, at, length, min_words) + 1
             begin = np.repeat(at, count) - (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
@@ -112,28 +59,28 @@ def _windows(sharded: DataFrame, recurring: DataFrame, min_words: int, buckets:
         anchor, h, doc, row, start = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((start, row, doc, h))
         anchor, h, doc, row, start = (x[order] for x in (anchor, h, doc, row, start))
-        heads = _heads(h)
+        heads = heads_of(h)
         high = doc[np.append(heads[1:], len(h)) - 1] if len(h) else doc
         anchor, h, low, row, start = (x[heads] for x in (anchor, h, doc, row, start))  # the first is of the lowest document
         bucket = ((anchor >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
         order = np.lexsort((start, row, bucket))
         bucket, h, low, high, row, start = (x[order] for x in (bucket, h, low, high, row, start))
-        run = _heads(bucket, low, high, row, start - np.arange(len(start)))
+        run = heads_of(bucket, low, high, row, start - np.arange(len(start)))
         count = np.diff(np.append(run, len(h))).astype(np.int32)
-        of_bucket = _heads(bucket[run])
-        cells = [_pack(x, of_bucket) for x in (low[run], high[run], row[run], start[run], count)]
+        of_bucket = heads_of(bucket[run])
+        packed = [pack(x, of_bucket) for x in (low[run], high[run], row[run], start[run], count)]
         shard = table.column("_shard")[0].as_py() if table.num_rows else 0
-        return pa.table([pa.array(bucket[run][of_bucket], pa.int32()), pa.array(np.full(len(of_bucket), shard), pa.int32()), *cells, _pack(h, run[of_bucket])], names=names)
+        return pa.table([pa.array(bucket[run][of_bucket], pa.int32()), pa.array(np.full(len(of_bucket), shard), pa.int32()), *packed, pack(h, run[of_bucket])], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
-        low, runs = _cells(table.column("low"), np.int64)
-        high, row, start, count = (_cells(table.column(c), t)[0] for c, t in (("high", np.int64), ("row", np.int64), ("start", np.int32), ("count", np.int32)))
-        h = _cells(table.column("h"), np.uint64)[0]
+        low, runs = cells(table.column("low"), np.int64)
+        high, row, start, count = (cells(table.column(c), t)[0] for c, t in (("high", np.int64), ("row", np.int64), ("start", np.int32), ("count", np.int32)))
+        h = cells(table.column("h"), np.uint64)[0]
         shard = np.repeat(np.asarray(table.column("shard")), runs)
         run = np.repeat(np.arange(len(low)), count)
         place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
         order = np.argsort(h, kind="stable")
-        heads = _heads(h[order])
+        heads = heads_of(h[order])
         size = np.diff(np.append(heads, len(h)))
         least, most = np.minimum.reduceat(low[run][order], heads), np.maximum.reduceat(high[run][order], heads)
         home = np.empty(len(h), np.int64)
@@ -142,7 +89,7 @@ def _windows(sharded: DataFrame, recurring: DataFrame, min_words: int, buckets:
         run, begin, home = run[again], (start[run] + place)[again], home[again]
         order = np.lexsort((begin, home, row[run], shard[run]))
         run, begin, home = run[order], begin[order], home[order]
-        heads = _heads(shard[run], row[run], home, begin - np.arange(len(begin)))
+        heads = heads_of(shard[run], row[run], home, begin - np.arange(len(begin)))
         tails = np.append(heads[1:], len(begin)) - 1 if len(heads) else heads
         return pa.table([pa.array(shard[run[heads]], pa.int32()), pa.array(row[run[heads]]), pa.array(begin[heads].astype(np.int32)), pa.array(begin[tails].astype(np.int32) + np.int32(1)), pa.array(home[heads])], names=["shard", "row", "start", "end", "home"])
 
@@ -161,7 +108,7 @@ def _passages(table: pa.Table, runs: pa.Table, min_words: int) -> tuple[np.ndarr
     names, at = np.unique(np.asarray(table.column("_row")), return_index=True)
     data, offsets = utf8(table.column("text"))
     out: list[str] = []
-    for head, tail in zip(_heads(row), np.append(_heads(row)[1:], len(row))):
+    for head, tail in zip(heads_of(row), np.append(heads_of(row)[1:], len(row))):
         i = int(at[np.searchsorted(names, row[head])])
         starts, ends, _ = words(data, offsets[i : i + 2])
         out += [data[starts[s] : ends[e - 2 + min_words]].tobytes().decode() for s, e in zip(start[head:tail].tolist(), end[head:tail].tolist())]
@@ -237,13 +184,12 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
 def _streamed(rows: DataFrame, min_words: int, handle, schema: T.StructType | str) -> DataFrame:
     """handle(table, automaton) over each shard of rows (doc_id, text, ...)."""
     length, buckets = _anchor_length(min_words), buckets_of(rows)
-    n_shards = shards_of(rows)
-    sharded = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_shard", F.pmod("_row", F.lit(n_shards)).cast("int"))
+    sharded = by_shard(rows)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         return handle(docs, Automaton(*_passages(docs, found, min_words), min_words))
 
-    runs = _windows(sharded, _recurring(sharded, length, buckets), min_words, buckets)
+    runs = _windows(sharded, recurring_by_shard(sharded, length, buckets), min_words, buckets)
     return sharded.groupBy("_shard").cogroup(runs.groupBy("shard")).applyInArrow(run, schema)
 
 

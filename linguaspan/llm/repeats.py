@@ -23,6 +23,7 @@ from .textops import anchors, gram_hashes, inside, mix, portions, utf8, word_has
 U = np.uint64
 EVEN = U(0xFFFFFFFFFFFFFFFE)
 BROADCAST_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 
 
 @dataclass
@@ -60,10 +61,6 @@ def read_texts(batch: pa.RecordBatch) -> Iterator[Part]:
         yield Part(a, b, data, offsets, starts, ends, bounds, word_hashes(data, starts, ends))
 
 
-def anchored(length: int) -> Callable[[Part], tuple[np.ndarray, np.ndarray]]:
-    return lambda part: part.anchors(length)
-
-
 def by_bucket(h: np.ndarray, buckets: int, *more: np.ndarray) -> pa.RecordBatch:
     """Sorted hashes cut into `buckets` ranges of equal width, one row of packed bytes each; `more` is packed alongside."""
     edges = np.searchsorted(h, (np.arange(buckets + 1, dtype=object) * 2**64 // buckets)[1:-1].astype(np.uint64)) if buckets > 1 else np.zeros(0, np.int64)
@@ -73,99 +70,70 @@ def by_bucket(h: np.ndarray, buckets: int, *more: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(use, pa.int32()), *[pa.array(c, pa.binary()) for c in cells]], names=["bucket", *[f"c{i}" for i in range(len(cells))]])
 
 
-def unpack(column: pd.Series, dtype: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype) for x in column])
-
-
 def buckets_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def recurring(rows: DataFrame, read: Reader, length: int) -> DataFrame:
-    """(h): hashes of anchors that stand in two rows at least. Each partition sends a hash once, its lowest bit set if two of its rows have it."""
-    buckets = buckets_of(rows)
+def shards_of(rows: DataFrame, column: str = "text") -> int:
+    """By the bytes of all texts, so that no shard grows with the corpus; several for each task in any case."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(4 * buckets_of(rows) + 1, total // SHARD_BYTES + 1)
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.uint64)]
-        for batch in batches:
-            for part in read(batch):
-                at, h = part.anchors(length)
-                text = part.text_of(at)
-                order = np.lexsort((h, text))
-                h, text = h[order], text[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                found.append(h[new])
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        yield by_bucket(h | (n > 1).astype(np.uint64), buckets)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.sort(unpack(pdf["c0"], np.uint64))
-        own = h & EVEN
-        same = np.zeros(len(h), bool)
-        same[1:] = own[1:] == own[:-1]
-        return pd.DataFrame({"h": np.unique(own[same | (h & U(1) > 0)]).view(np.int64)})
+def by_shard(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with _row, a hash of both, and _shard. Steps that group by _shard read one shuffle of the texts."""
+    return rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_shard", F.pmod("_row", F.lit(shards_of(rows))).cast("int"))
 
-    return cut(rows.mapInArrow(collect, "bucket int, c0 binary").groupBy("bucket").applyInPandas(meet, "h bigint"))
 
+def cells(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of all rows in a row, and how many each row has."""
+    data, offsets = utf8(column)
+    return data[offsets[0] : offsets[-1]].view(dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
-def at_hits(rows: DataFrame, read: Reader, find: Callable[[Part], tuple[np.ndarray, np.ndarray]], shared: DataFrame, kernel: Callable, schema: T.StructType | str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """kernel((batch, part, positions whose hashes are in `shared`, these hashes), ...) over all rows; find(part) gives all positions, in order, and hashes.
 
-    The hashes are broadcast if they take broadcast_bytes at most; otherwise the positions come by a join on the hash.
-    """
-    sc = rows.sparkSession.sparkContext
-    if shared.count() * 8 <= broadcast_bytes:
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.record_batch([pa.array([batch.column("h").to_numpy().tobytes()], pa.binary())], names=["h"])
-
-        known = sc.broadcast(np.sort(np.frombuffer(b"".join(r["h"] for r in shared.mapInArrow(packed, "h binary").collect()), np.uint64)))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = known.value
-
-            def parts() -> Iterator[tuple]:
-                for batch in batches:
-                    for part in read(batch):
-                        at, h = find(part)
-                        place = np.searchsorted(table, h)
-                        ok = np.zeros(len(h), bool)
-                        inside = place < len(table)
-                        ok[inside] = table[place[inside]] == h[inside]
-                        yield batch, part, at[ok], h[ok]
-
-            yield from kernel(parts())
-
-        return rows.mapInArrow(near, schema)
-
-    keyed = rows.withColumn("_row", F.xxhash64(*rows.columns))
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("_row").to_numpy()
-            for part in read(batch):
-                at, h = find(part)
-                text = part.text_of(at)
-                yield pa.record_batch([pa.array(row[part.a + text]), pa.array(h.view(np.int64)), pa.array((at - part.bounds[text]).astype(np.int32))], names=["_row", "h", "_at"])
-
-    places = keyed.mapInArrow(positions, "_row bigint, h bigint, _at int").join(shared, "h").groupBy("_row").agg(F.sort_array(F.collect_set("_at")).alias("_at"))
-    joined = keyed.join(places, "_row", "left").select(*rows.columns, "_at")
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple]:
-            for batch in batches:
-                lists = batch.column("_at").to_pylist()
-                for part in read(batch):
-                    at = np.array([part.bounds[i] + p for i, x in enumerate(lists[part.a : part.b]) for p in x or ()], np.int64)
-                    all_at, all_h = find(part)
-                    place = np.searchsorted(all_at, at)
-                    yield batch, part, at, all_h[place]
-
-        yield from kernel(parts())
-
-    return joined.mapInArrow(far, schema)
+def heads_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all columns begins."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def pack(x: np.ndarray, heads: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(x)))], pa.binary())
+
+
+def recurring_by_shard(sharded: DataFrame, length: int, buckets: int, read: Reader = None) -> DataFrame:
+    """(shard, c0): for each shard of by_shard() the hashes of those of its anchors that stand in two rows at least, wherever these are."""
+
+    def collect(table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for part in (read or read_texts)(table):
+            at, h = part.anchors(length)
+            text = part.text_of(at)
+            order = np.lexsort((h, text))
+            found.append(h[order][heads_of(h[order], text[order])])
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        out = pa.Table.from_batches([by_bucket(h | (n > 1).astype(np.uint64), buckets)])
+        return out.append_column("shard", pa.array(np.full(out.num_rows, table.column("_shard")[0].as_py()), pa.int32()))
+
+    def meet(table: pa.Table) -> pa.Table:
+        h, size = cells(table.column("c0"), np.uint64)
+        shard = np.repeat(np.asarray(table.column("shard")), size)
+        order = np.argsort(h, kind="stable")
+        h, shard = h[order], shard[order]
+        heads = heads_of(h & EVEN)
+        count = np.diff(np.append(heads, len(h)))
+        ok = np.repeat((count > 1) | (h[np.append(heads[1:], len(h)) - 1] & U(1) > 0), count) if len(h) else np.zeros(0, bool)
+        h, shard = h[ok] & EVEN, shard[ok]
+        order = np.lexsort((h, shard))
+        h, shard = h[order], shard[order]
+        heads = heads_of(shard)
+        return pa.table([pa.array(shard[heads], pa.int32()), pack(h, heads)], names=["shard", "c0"])
+
+    return sharded.groupBy("_shard").applyInArrow(collect, "bucket int, c0 binary, shard int").groupBy("bucket").applyInArrow(meet, "shard int, c0 binary")
+
+
+def among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes are among those known, which are in order."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
 def reach(part: Part, at: np.ndarray, length: int, window: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
-from linguaspan.llm import collision_ann, host_suffixes, language_id, line_quality, mixing, phrase_automata, pieces, sharding, signature_trees, suffix_dedup
+from linguaspan.llm import collision_ann, host_suffixes, language_id, line_quality, mixing, phrase_automata, pieces, repeats, sharding, signature_trees, suffix_dedup
 
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, TEXT string, Doc_Id int"
 
@@ -48,17 +48,18 @@ def windows(rows, w):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": -1}])
-def test_repeats_equal_brute_force(spark, corpus, limits):
+@pytest.mark.parametrize("shard_bytes", [1 << 23, 900])
+def test_repeats_equal_brute_force(spark, corpus, shard_bytes, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard_bytes)
     docs = frame(spark, corpus)
     want = windows(corpus, 50)
-    got = {(r.doc_id, p, r.first_copy) for r in suffix_dedup.duplicates(docs, 50, **limits).collect() for p in range(r.start_word, r.end_word)}
+    got = {(r.doc_id, p, r.first_copy) for r in suffix_dedup.duplicates(docs, 50).collect() for p in range(r.start_word, r.end_word)}
     assert got == want
 
 
 @pytest.mark.parametrize("shard_bytes", [1 << 23, 900])
 def test_phrases_equal_brute_force(spark, corpus, shard_bytes, monkeypatch):
-    monkeypatch.setattr(phrase_automata, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard_bytes)
     got = {(r.doc_id, p, r.home == r.doc_id) for r in phrase_automata.occurrences(frame(spark, corpus), 50).collect() for p in range(r.start_word, r.end_word)}
     assert got == windows(corpus, 50)
 
@@ -142,15 +143,16 @@ def test_languages_by_held_out_accuracy(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-def test_pages_keep_unique_runs(spark):
+def test_pages_keep_unique_runs(spark, monkeypatch):
     rng = random.Random(4)
     nav = "".join(f"<li><a href='/{k}'>menu{k}</a></li>" for k in range(12))
     bodies = [prose(rng, 40) for _ in range(6)]
     html = [f"<html><head><title>t</title><script>var x='<p>';</script></head><body><ul>{nav}</ul><p>{b}</p><div>one &amp; two {b}</div></body></html>" for b in bodies]
     rows = [(i, "http://User@Site.org:80/a" if i < 5 else "http://b.org/", h) for i, h in enumerate(html)] + [(7, None, None), (8, "nothing", ""), (9, "http://site.org/x", html[0]), (None, "http://site.org/", "<p>broken < a <b")]
     docs = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    for limits in ({}, {"broadcast_bytes": -1}):
-        got = {r.page_id: r for r in host_suffixes.extract(docs, **limits).collect()}
+    for shard_bytes in (1 << 23, 500):
+        monkeypatch.setattr(host_suffixes, "HOST_BYTES", shard_bytes)
+        got = {r.page_id: r for r in host_suffixes.extract(docs).collect()}
         assert got[0].host == "site.org" and "menu3" not in got[0].text and bodies[0] in got[0].text and "one & two" in got[0].text
         assert got[9].text == got[0].text and "menu3" in got[5].text
         assert got[7].text == "" and got[8].n_words == 0 and len(got) == 10

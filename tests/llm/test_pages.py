@@ -6,11 +6,13 @@ import time
 import pytest
 from test_llm import prose
 
-from linguaspan.llm import host_suffixes
+from linguaspan.llm import host_suffixes, repeats
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": -1}])
-def test_page_texts_equal_brute_force(spark, limits):
+@pytest.mark.parametrize("shard_bytes", [1 << 23, 3000])
+def test_page_texts_equal_brute_force(spark, shard_bytes, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(host_suffixes, "HOST_BYTES", shard_bytes)  # hosts of more are split
     rng = random.Random(14)
     blocks = [f"<div class=x><p>{prose(rng, rng.randint(3, 25))}</p></div>" for _ in range(12)]
     rows = []
@@ -32,7 +34,7 @@ def test_page_texts_equal_brute_force(spark, limits):
                 covered |= set(range(s, s + 16))
         runs = itertools.groupby([(w, p in covered) for p, (w, tag) in enumerate(tokens) if not tag], key=lambda x: x[1])
         want.append((rows[n][0], [w for gone, run in runs for words in [[w for w, _ in run]] if not gone and len(words) >= 5 for w in words]))
-    got = host_suffixes.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, HTML string"), 16, 5, **limits).collect()
+    got = host_suffixes.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, HTML string"), 16, 5).collect()
     assert sorted((r.page_id, r.text.split()) for r in got) == sorted(want)
 
 
