@@ -26,7 +26,7 @@ U = np.uint64
 
 WIDTH = 1024
 PLANES = 0x32400  # code points of the first planes; what is beyond holds no letters
-TEXTS, CELLS = 256, 1 << 15  # texts and (text, trigram) pairs that are bundled at a time
+CELLS = 1 << 24  # texts times different trigrams that are bundled at a time
 
 
 def _alphabet() -> np.ndarray:
@@ -59,8 +59,8 @@ def gram_vectors(first: np.ndarray, second: np.ndarray, third: np.ndarray, lette
     return (np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]).astype(np.float32)
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, trigram (numbers of letters in base 2**20) and count, by text, of the texts in data[offsets[0]:offsets[-1]], and the letters. Runs of non-letters are one letter."""
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Text number, trigram (numbers of letters) and count, by text, of the texts in data[offsets[0]:offsets[-1]]; the letters; and the bits of a number. Runs of non-letters are one letter."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -70,37 +70,52 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     gap = symbols == 0
     keep = np.ones(len(symbols), bool)
     keep[1:] = ~(gap[1:] & gap[:-1] & (text[1:] == text[:-1]))
-    letters, number = np.unique(symbols[keep], return_inverse=True)
-    number, text = number.astype(np.int64), text[keep]
+    symbols, text = symbols[keep], text[keep]
+    place = np.zeros(PLANES, np.int64)
+    place[symbols] = 1
+    letters = np.flatnonzero(place)
+    place[letters] = np.arange(len(letters))
+    number, bits = place[symbols], max(1, int(len(letters)).bit_length())
     if len(number) < 3:
-        return (np.zeros(0, np.int64),) * 3 + (letters,)
-    solid = symbols[keep] != 0
-    ok = (text[:-2] == text[2:]) & (solid[:-2] | solid[1:-1] | solid[2:])
-    code = (number[:-2] << 40 | number[1:-1] << 20 | number[2:])[ok]
-    known, at = np.unique(code, return_inverse=True)
-    key, count = np.unique(text[:-2][ok] * len(known) + at, return_counts=True)
-    return key // max(1, len(known)), known[key % max(1, len(known))], count, letters
+        return (np.zeros(0, np.int64),) * 3 + (letters, bits)
+    ok = text[:-2] == text[2:]
+    if len(letters) and letters[0] == 0:
+        solid = number > 0
+        ok &= solid[:-2] | solid[1:-1] | solid[2:]
+    code, text = (number[:-2] << 2 * bits | number[1:-1] << bits | number[2:])[ok], text[:-2][ok]
+    if 3 * bits + len(offsets).bit_length() < 63:
+        key = text << 3 * bits | code
+        key.sort()
+        text, code = key >> 3 * bits, key & (1 << 3 * bits) - 1
+    else:
+        order = np.lexsort((code, text))
+        text, code = text[order], code[order]
+    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])) if len(code) else np.zeros(0, np.int64)
+    return text[new], code[new], np.diff(np.append(new, len(code))), letters, bits
 
 
 def bundles(column: pa.Array) -> np.ndarray:
-    """A vector for each text; zero for one without letters. Memory is bounded by TEXTS and CELLS, whatever the texts' lengths and letters."""
+    """A vector for each text; zero for one without letters. Memory is bounded by CELLS, whatever the texts' lengths and letters."""
     data, offsets = utf8(column)
     out = np.zeros((len(offsets) - 1, WIDTH), np.float32)
     for a, b in portions(offsets, 1 << 19):
-        text, code, count, letters = trigrams(data, offsets[a : b + 1])
+        text, code, count, letters, bits = trigrams(data, offsets[a : b + 1])
         if not len(text):
             continue
         vectors = letter_vectors(letters)
         lo = 0
         while lo < len(text):
-            first = text[lo]
-            hi = min(np.searchsorted(text, first + TEXTS), lo + CELLS)
+            first, n, hi = text[lo], int(text[-1] - text[lo]) + 1, len(text)
             known, at = np.unique(code[lo:hi], return_inverse=True)
-            dense = np.zeros((int(text[hi - 1] - first) + 1, len(known)), np.float32)
+            while n > 1 and n * len(known) > CELLS:  # one text has no more trigrams than characters, and these are bounded by its own size
+                n = max(1, n // 2)
+                hi = int(np.searchsorted(text, first + n))
+                known, at = np.unique(code[lo:hi], return_inverse=True)
+            dense = np.zeros((n, len(known)), np.float32)
             dense[text[lo:hi] - first, at] = count[lo:hi]
             for c in range(0, len(known), 4096):
                 k = known[c : c + 4096]
-                out[a + first : a + first + len(dense)] += dense[:, c : c + 4096] @ gram_vectors(k >> 40, k >> 20 & 0xFFFFF, k & 0xFFFFF, vectors)
+                out[a + first : a + first + len(dense)] += dense[:, c : c + 4096] @ gram_vectors(k >> 2 * bits, k >> bits & (1 << bits) - 1, k & (1 << bits) - 1, vectors)
             lo = hi
     return out
 
