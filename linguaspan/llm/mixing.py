@@ -36,13 +36,17 @@ def plan(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     A source without a whole block takes no part, nor do the tokens after a source's last whole block. A source whose highest quotient isn't among
     the first `shard_blocks` has no seat, and none of its documents is taken; what the others have beyond the shards is left. dropped() tells how much. A null source is the
     empty name; a null text has no tokens, and such a document belongs to the block at whose place it stands. Documents are ordered
-    by a hash of doc_id, then doc_id, then tokens; repeated rows each count. An empty table gives no row. Other columns are ignored.
+    by a hash of doc_id, then doc_id, then tokens; repeated rows each count; equal quotients go to the first source by name. An empty table gives no row. Other columns, whatever their names, are ignored.
     """
     return _plan(docs, weights, alpha, block_tokens, shard_blocks, seed).drop("_row")
 
 
 def taken(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.8, block_tokens: int = 512, shard_blocks: int = 100, seed: int = 17) -> DataFrame:
-    """The rows of docs that plan() takes, with all their columns; rows equal in doc_id, text and source are taken together."""
+    """The rows of docs that plan() takes, with all their columns; rows equal in doc_id, text and source are taken together.
+
+    A null source is the empty name, a null text has no tokens, a null doc_id is an id like any other; an empty table gives no row. Texts are used whole. Columns
+    stay as they are, whatever their names.
+    """
     chosen = _plan(docs, weights, alpha, block_tokens, shard_blocks, seed).select("_row").distinct()
     places = [docs.columns.index(c) for c in ("doc_id", "text", "source")]
     flat = docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])

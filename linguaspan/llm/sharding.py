@@ -66,9 +66,9 @@ def shuffled(rows: DataFrame, n_shards: int = 64, seed: int = 17, id_column: str
     """(id, row_number, place, shard, slot, and the carried columns) for every row.
 
     Rows are numbered from 0 in order of the id, nulls first; rows of equal id are numbered in order of a hash of the
-    carried columns, and those that are equal in all are interchangeable, so the result is the same in every run. An
-    empty table gives no row. Columns that aren't carried are neither read nor moved. A carried column that bears the name
-    of a result column is an error.
+    carried columns, and those that are equal in all are interchangeable, so the result is the same in every run. Null ids are rows like any others. An
+    empty table gives no row. Columns that aren't carried, however long their texts, are neither read nor moved, and their names may clash. A carried column that bears the name
+    of a result column is an error. Ids that are equal or null fall in one range, if nothing is carried that tells them apart; their rows are then a few bytes each.
     """
     names = ("row_number", "place", "shard", "slot")
     if n_shards < 1 or {id_column, *carry} & set(names):
