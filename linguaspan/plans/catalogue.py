@@ -9,6 +9,7 @@ from ..functions import kernels as K
 from ..functions import text as X
 from ..operators import align, augment, clean, embed, evaluate, match, render, stats
 from ..runtime import cut, ship
+from ..sources import lines as L
 from . import sql
 
 QUERIES: dict = {}
@@ -507,3 +508,101 @@ def link_html(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql.diff_html(PAIRS))
 def diff_html(spark: SparkSession, sf: str) -> DataFrame:
     return render.differences(pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("tgt").alias("hyp"), F.col("src").alias("ref")))
+
+
+# what the operators above are made of, each by itself
+
+
+@query(f"with {BENCH} select distinct word, prefix from (select word, left(word, unnest(range(1, length(word) + 1))) as prefix from (select unnest(words) as word from bench))")
+def word_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return passages(spark, sf).select(F.explode("words").alias("word")).select("word", F.explode(X.prefixes(F.col("word"))).alias("prefix")).distinct()
+
+
+@query("select doc_id, translate(text, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY') as plain from documents")
+def unaccented_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.unaccented(F.col("text")).alias("plain"))
+
+
+@query(f"with {DOCS} select doc_id, array_to_string([length(w)::varchar for w in words], ' ') as tags from docs where words is not null")
+def last_factors(spark: SparkSession, sf: str) -> DataFrame:
+    factored = F.transform("words", lambda w: F.concat_ws(X.FIELD, w, F.lit("x"), F.length(w).cast("string")))
+    return documents(spark, sf).where("words is not null").select("doc_id", F.array_join(X.after_factor(factored), " ").alias("tags"))
+
+
+SCORES = "sc as (select vec_id, round(embedding[1]::double * 3, 4) as score from embeddings)"
+
+
+@query(f"""with {SCORES}, c as (select *, least(greatest(score, 0.0::double), 1.0::double) as held from sc) select vec_id, held, case when score > 1 then 0.999999::double else score end as below, round((score + 1) / 2, 6) as rescaled,
+'⸨' || case when held >= 1 then '1.0' {' '.join(f"when held >= 0.{k} then '0.{k}'" for k in range(9, 0, -1))} else '0.0' end || '⸩' as range_tag, '⸨' || left(printf('%.6f', held), 3) || '⸩' as printed_tag from c""")
+def score_tags(spark: SparkSession, sf: str) -> DataFrame:
+    score = F.round(F.get("embedding", F.lit(0)).cast("double") * 3, 4)
+    held = X.clamp(score)
+    return table(spark, sf, "embeddings").select("vec_id", held.alias("held"), X.below_one(score).alias("below"), F.round(X.rescaled(score), 6).alias("rescaled"), X.range_tag(held).alias("range_tag"), X.printed_tag(held).alias("printed_tag"))
+
+
+@query("""with e as (select vec_id, embedding[1:8]::double[] as v from embeddings), m as (select *, list_max(v) as top from e), x as (select *, [exp((a - top) / 0.5) for a in v] as ex from m)
+select vec_id, unnest(range(8)) as d, unnest([round(a / list_sum(ex), 6) for a in ex]) as soft, unnest([round(least(greatest(a * 2, 0.1::double), 1.0::double), 6) for a in v]) as held from x""")
+def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    each = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(X.softmax(v, 0.5).alias("soft"), X.clipped(v, 2.0, 0.1).alias("held"))).alias("d", "x"))
+    return each.select("vec_id", F.col("d").cast("bigint").alias("d"), F.round("x.soft", 6).alias("soft"), F.round("x.held", 6).alias("held"))
+
+
+@query(f"with {PAIRS} select pair_id, case when len(s) > 0 then round(len([x for x in s if list_contains(t, x)]) / len(s), 6) else 0.0::double end as share from tok")
+def shared_word_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return token_pairs(spark, sf).select("pair_id", F.round(X.share_found(F.col("src"), F.col("tgt")), 6).alias("share"))
+
+
+@query(f"with {PAIRS}, h as (select pair_id as id, list_sort(list_distinct([e for e in s if contains(' ' || tgt || ' ', ' ' || e || ' ')])) as hits from tok join pairs using (pair_id)) select id, array_to_string(hits, ' ') as hits from h where len(hits) > 0")
+def dictionary_hits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pairs(spark, sf).select(F.col("pair_id").alias("id"), F.col("tgt").alias("hyp"), X.tokens(F.col("src")).alias("entries"))
+    return render.dictionary_hits(rows, only_hits=True).select("id", F.array_join("hits", " ").alias("hits"))
+
+
+@query(f"with {BENCH}, p as (select item_id, words, unnest(range(len(words))) as pos from bench) select item_id, pos::int as pos, words[pos + 1] as centre, array_to_string(list_concat(words[1 : pos], words[pos + 2 : len(words)]), ' ') as context from p")
+def sentence_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.sentence_contexts(passages(spark, sf), "item_id").withColumn("context", F.array_join("context", " "))
+
+
+@query(f"with {KNN}, r as (select *, row_number() over (partition by query_id order by score desc, db_id) as rank from s where score between 0 and 0.95) select query_id, rank::int as rank, score, db_id from r where rank <= 3")
+def match_list_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of match_list_text, read again."""
+    return L.match_pairs(match_list_text(spark, sf).select(F.col("query_id").alias("line_no"), F.col("line").alias("text")))
+
+
+@query("select 'bench' as file, item_id + 1 as n, text from benchmark where item_id in (0, 4, 9)")
+def chosen_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return L.nth_lines({"bench": table(spark, sf, "benchmark").select(F.col("item_id").alias("line_no"), "text")}, [1, 5, 10])
+
+
+@query("select label, d, round(max(v::double), 6) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
+def label_vectors_max(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, "max")
+
+
+@query("select label, d, round(sum(v::double), 6) + 0.0::double as v from (select label, unnest(embedding) as v, unnest(range(len(embedding))) as d from embeddings) group by all")
+def label_vectors_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return _pooled(spark, sf, "sum")
+
+
+def _pooled(spark: SparkSession, sf: str, how: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    pooled = embed.pooled(e.select("label", F.col("vec_id").alias("word")), e.select(F.col("vec_id").alias("word"), "embedding"), "label", how)
+    return pooled.select("label", F.posexplode("embedding").alias("d", "v")).select("label", F.col("d").cast("bigint").alias("d"), (F.col("v") + 0.0).alias("v"))
+
+
+@query(sql.unfold_groups(LINKS, False))
+def unfold_groups_by_target(spark: SparkSession, sf: str) -> DataFrame:
+    return align.unfolded(token_pairs(spark, sf), by_source=False)
+
+
+@query(sql.bleu_two(PAIRS))
+def bleu_two_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The second reference is the first one's second half."""
+    rows = scored_rows(spark, sf).withColumn("refs", F.concat("refs", F.array(F.array_join(F.slice(X.tokens(F.get("refs", F.lit(0))), F.floor(F.size(X.tokens(F.get("refs", F.lit(0)))) / 2).cast("int") + 1, F.lit(100000)), " "))))
+    return evaluate.bleu(rows)
+
+
+@query(f"""with {LINKS}, c as (select sw as s, tw as t, count(*) as n from ln group by all), all_s as (select s, t, n from c), r as (select *, row_number() over (partition by s order by n desc, t) as k from all_s) select s, t, n from r where k = 1 and s <> 'NULL' and t <> 'NULL'""")
+def best_links(spark: SparkSession, sf: str) -> DataFrame:
+    return align.ranked_links(token_pairs(spark, sf)).select("s", "t", "n")

@@ -1,9 +1,12 @@
+import random
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linguaspan.functions import grams as G
 from linguaspan.functions import kernels as K
 from linguaspan.functions import text as X
 from linguaspan.operators import align, augment, clean, evaluate, match, stats
@@ -11,7 +14,7 @@ from linguaspan.plans import catalogue
 from linguaspan.sources import lines as L
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["corpus_stats_by_lang", "oov_report", "sentence_idf", "domain_tfidf", "clean_report", "split_sets", "word_levenshtein", "bleu_corpus", "chrf_corpus", "related_targets_any", "joiner_features", "vocab_build", "flat_matches", "masked_ngrams"]
+QUICK = ["corpus_stats_by_lang", "oov_report", "sentence_idf", "domain_tfidf", "clean_report", "split_sets", "word_levenshtein", "bleu_corpus", "chrf_corpus", "related_targets_any", "joiner_features", "vocab_build", "flat_matches", "masked_ngrams", "ngram_candidates", "fuzzy_testset", "ngram_overlap_best", "lcs_pairs", "mask_unrelated", "diff_html", "unfold_groups", "unfold_groups_by_target", "acronyms", "link_html", "score_tags", "softmax_scores", "bleu_two_references", "match_list_rows", "label_vectors_sum"]
 
 
 def rows(df):
@@ -50,6 +53,35 @@ def test_bleu_of_itself_is_100(spark):
     assert evaluate.chrf(df).first().chrf == 100.0
 
 
+def test_phrases_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        n, m = rng.randint(1, 6), rng.randint(1, 6)
+        links = {(rng.randrange(n), rng.randrange(m)) for _ in range(rng.randint(0, 6))}
+        want = set()
+        for a in range(n):
+            for b in range(a, n):
+                for c in range(m):
+                    for d in range(c, m):
+                        inner = [(s, t) for s, t in links if a <= s <= b]
+                        if inner and all((a <= s <= b) == (c <= t <= d) for s, t in links):
+                            (x, y), (z, w) = ((min(v), max(v)) for v in zip(*inner))  # what is left without free words at the borders
+                            if y - x < 3 and w - z < 3:
+                                want.add((a, b, c, d))
+        got = set(K.phrases(n, m, sorted(links), 3))
+        assert got == want, (n, m, links)
+
+
+def test_grams_of_rows_with_nulls():
+    lists = pa.array([["a", "b", "a", "b"], None, [], ["𝚇", "1", "x"], ["a", "b"]], pa.list_(pa.string()))
+    row, found = G.word_ngrams(lists, 2)
+    assert list(zip(row.tolist(), found.to_pylist())) == [(0, "a b"), (0, "b a"), (0, "a b"), (3, "𝚇 1"), (3, "1 x"), (4, "a b")]
+    masked = G.masked(pa.array([["3.5", ".", "a1", "", "--", "5.5.5"]]))
+    assert masked.to_pylist() == [["𝚇", "𝚇", "a1", "𝚇", "𝚇", "5.5.5"]]
+    assert G.word_ngrams(masked, 2, 1)[1].to_pylist() == ["𝚇 a1", "a1 𝚇", "𝚇 5.5.5"]
+    assert G.clipped("aab", ["ab", "aa"], 1) == (3, 3, 4) and G.clipped([], [["a"]], 1) == (0, 0, 1)
+
+
 def test_ngrams_of_short_arrays(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
     assert [r.g for r in df.select(X.ngrams(F.col("w"), 2).alias("g")).collect()] == [["a b", "b c"], [], []]
