@@ -28,7 +28,6 @@ from .textops import gram_hashes, inside, mix, plain, portions, utf8, word_hashe
 
 U = np.uint64
 BITS, FAN, FRONTIER, HOT_BITS = 4, 8, 1 << 20, 2048
-BROADCAST_BYTES = 1 << 24
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,11 +368,6 @@ def _verified(units: DataFrame, threshold: float) -> DataFrame:
     return units.select("unit", "side", "set1", "set2", "id", "grams", "several").repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "set1 bigint, set2 bigint, id bigint, root bigint, links bigint, several boolean")
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, to be broadcast if it is counted and found to take BROADCAST_BYTES at most; joined by Spark's choice otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def classes(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 32, rows: int = 2, group_sets: int = 4096, group_grams: int = 1 << 21) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of each document that has a link or a copy; one that is alone in its class has no row.
 
@@ -403,7 +397,7 @@ def classes(docs: DataFrame, threshold: float = 0.7, n: int = 3, bands: int = 32
     loads = wanted.groupBy("cluster").agg(F.sum("size").alias("load"))
     wanted = wanted.groupBy("id", "cluster").agg(F.collect_set("set1").alias("names")).join(loads, "cluster")
     # only the texts of sets that could have a link go on
-    source = texts.join(_small(cut(wanted.withColumnRenamed("id", "doc_id")), 64), "doc_id")
+    source = texts.join(cut(wanted.withColumnRenamed("id", "doc_id")), "doc_id")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
