@@ -166,10 +166,14 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(letters(a), letters(b))
 
 
-def links(alignment: Column) -> Column:
-    """`0-0 1-2` as array<struct<s, t>>; what isn't of this form is dropped."""
-    good = F.filter(F.split(alignment, BLANK), lambda p: p.rlike("^[0-9]+-[0-9]+$"))
-    return F.transform(good, lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).cast("int").alias("s"), F.split_part(p, F.lit("-"), F.lit(2)).cast("int").alias("t")))
+def links(alignment: Column, strict: bool = True) -> Column:
+    """`0-0 1-2` as array<struct<s, t>>; strict: what isn't of this form is an error, else it is dropped."""
+    every = tokens(alignment)
+    good = F.filter(every, lambda p: p.rlike("^[0-9]+-[0-9]+$"))
+    made = F.transform(good, lambda p: F.struct(F.split_part(p, F.lit("-"), F.lit(1)).cast("int").alias("s"), F.split_part(p, F.lit("-"), F.lit(2)).cast("int").alias("t")))
+    if not strict:
+        return made
+    return F.when(F.size(good) < F.size(every), F.raise_error(F.concat(F.lit("no alignment: "), alignment)).cast("array<struct<s:int,t:int>>")).otherwise(made)
 
 
 def any_linked(tgt: Column, pairs: Column, related: Column) -> Column:

@@ -64,7 +64,10 @@ def split_by_map(rows: DataFrame, names: DataFrame, id_column: str, remain: str
 
 
 def split_by_offsets(rows: DataFrame, files: DataFrame, number: str = "row_number") -> DataFrame:
-    """rows with set_name of files (position, set_name, n): row numbers are dealt to the files in order; files is a short list."""
+    """rows with set_name of files (position, set_name, n): row numbers are dealt to the files in order; files is a short list. Other totals than the number of rows are an error."""
+    total, count = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rows.count()
+    if total != count:
+        raise ValueError(f"the files have {total} lines, the rows are {count}")
     w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = files.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n")).select("set_name", "lo", "hi")
     return rows.join(ends, (F.col(number) >= F.col("lo")) & (F.col(number) < F.col("hi")), "left").drop("lo", "hi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +41,20 @@ def zipped(named: dict[str, DataFrame], strict: bool = True) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "line_no"), [d.withColumnRenamed("text", k) for k, d in frames])
 
 
-def references(spark: SparkSession, stem: str) -> DataFrame:
-    """(line_no, refs) of `stem`, or else stem0, stem1, ... or stem.ref0, ..."""
-    import glob
-    import os
+def _literal(path: str) -> str:
+    """A path of which no character stands for others."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
 
-    paths = [stem] if os.path.exists(stem) else sorted(glob.glob(f"{glob.escape(stem)}[0-9]*")) or sorted(glob.glob(f"{glob.escape(stem)}.ref*"))
+def references(spark: SparkSession, stem: str) -> DataFrame:
+    """(line_no, refs) of `stem`, or else stem0, stem1, ... or stem.ref0, ..., looked up in the file system of the path."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(stem).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    match = lambda tail: sorted(f.getPath().toString() for f in found.globStatus(jvm.org.apache.hadoop.fs.Path(_literal(stem) + tail)) or ())
+    paths = match("") or match("[0-9]*") or match(".ref*")
     if not paths:
         raise FileNotFoundError(stem)
-    each = [read_lines(spark, p).withColumn("ref_no", F.lit(i)) for i, p in enumerate(paths)]
+    each = [read_lines(spark, _literal(p)).withColumn("ref_no", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(DataFrame.unionByName, each).groupBy("line_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("ref_no", "text"))), lambda r: r["text"]).alias("refs"))
 
 

@@ -112,6 +112,32 @@ def test_lines_are_numbered_and_zipped(spark, tmp_path):
     assert L.zipped({"s": a, "t": b}, strict=False).count() == 2
 
 
+def test_references_are_found_beside_the_stem(spark, tmp_path):
+    (tmp_path / "r[1]0").write_text("a\nb\n")
+    (tmp_path / "r[1]1").write_text("c\nd\n")
+    (tmp_path / "one").write_text("x\n")
+    assert [r.refs for r in L.references(spark, str(tmp_path / "r[1]")).orderBy("line_no").collect()] == [["a", "c"], ["b", "d"]]
+    assert [r.refs for r in L.references(spark, str(tmp_path / "one")).collect()] == [["x"]]
+    with pytest.raises(FileNotFoundError):
+        L.references(spark, str(tmp_path / "none"))
+
+
+def test_alignments_of_another_form_are_an_error(spark):
+    df = spark.createDataFrame([("0-1 2-0",), ("0-x 1-1",), ("",), (None,)], "a string")
+    got = df.select(X.links(F.col("a"), strict=False).alias("p")).collect()
+    assert [r.p and [(x.s, x.t) for x in r.p] for r in got] == [[(0, 1), (2, 0)], [(1, 1)], [], None]
+    with pytest.raises(Exception, match="no alignment"):
+        df.select(X.links(F.col("a")).alias("p")).collect()
+
+
+def test_splits_must_have_all_rows(spark):
+    files = spark.createDataFrame([(0, "a", 2), (1, "b", 1)], "position int, set_name string, n bigint")
+    got = clean.split_by_offsets(spark.range(3).withColumnRenamed("id", "row_number"), files)
+    assert {r.row_number: r.set_name for r in got.collect()} == {0: "a", 1: "a", 2: "b"}
+    with pytest.raises(ValueError):
+        clean.split_by_offsets(spark.range(4).withColumnRenamed("id", "row_number"), files)
+
+
 def test_vocabulary_ties_go_by_word(spark):
     df = spark.createDataFrame([(["b", "a", "c", "c"],)], "words array<string>")
     assert [(r.idx, r.word) for r in stats.vocabulary(df, 1).orderBy("idx").collect()] == [(0, "<unk>"), (1, "c"), (2, "a"), (3, "b")]
