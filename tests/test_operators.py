@@ -3,6 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,28 @@ def test_phrases_are_of_up_to_seven_words(spark, monkeypatch):
     for name in ("phrase_pairs", "phrase_table"):
         got = {r.src_phrase for r in catalogue.QUERIES[name](spark, SF).collect()}
         assert {"a b c d e f g", "b c d e f g h"} <= got and max(map(len, got)) == 13
+
+
+def _same_as_sql(spark, folder, name, **tables):
+    """Whether a query over small made tables has the rows of its SQL, with the same text of each value."""
+    con = duckdb.connect()
+    for t, table in tables.items():
+        pq.write_table(table, f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    a, b = catalogue.QUERIES[name](spark, str(folder)).toPandas(), con.execute(catalogue.ORACLE[name]).df()
+    assert len(a) and rows(a) == rows(b)
+
+
+def _talk(*turns):
+    """conversations: one for each (conv_id, user's text, assistant's text)."""
+    each = [(c, t, role, text) for c, u, a in turns for t, role, text in ((0, "user", u), (1, "assistant", a))]
+    return pa.table({"conv_id": pa.array([x[0] for x in each], pa.int64()), "turn": pa.array([x[1] for x in each], pa.int64()), "role": [x[2] for x in each], "text": [x[3] for x in each]})
+
+
+def test_masking_folds_case_as_its_sql(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "mask_unrelated", conversations=_talk((1, "groß Maß MASS ΟΔΟΣ", "gross mass maß οδοσ"), (2, "a b", "c A")))
+
+
+def test_tags_of_scores_that_round_to_minus_zero(spark, tmp_path):
+    e = [[-7.961560186231509e-06] + [0.5] * 8, [7e-06] + [0.5] * 8, [-0.3] * 9, [0.1234] * 9]
+    _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(4), pa.int64()), "embedding": pa.array(e, pa.list_(pa.float32())), "label": pa.array([0] * 4, pa.int32())}))
