@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -209,3 +210,19 @@ def test_masking_folds_case_as_its_sql(spark, tmp_path):
 def test_tags_of_scores_that_round_to_minus_zero(spark, tmp_path):
     e = [[-7.961560186231509e-06] + [0.5] * 8, [7e-06] + [0.5] * 8, [-0.3] * 9, [0.1234] * 9]
     _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(4), pa.int64()), "embedding": pa.array(e, pa.list_(pa.float32())), "label": pa.array([0] * 4, pa.int32())}))
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_by_distance_with_copies_and_ties(spark, block):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (60, 4)).astype(np.float32) / 3
+    x[40:50] = x[:10]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, embedding array<float>")
+    got = match.exact_knn(df.where("id % 5 = 0"), df, 4, block=block, distance="euclidean", others=True).collect()
+    want = {(i, j, n + 1) for i in range(0, 60, 5) for n, (_, j) in enumerate(sorted((round(float(np.sqrt(((x[i].astype(float) - x[j]) ** 2).sum())), 6), j) for j in range(60) if j != i)[:4])}
+    assert {(r.query_id, r.db_id, r.rank) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["nearest_euclidean", "knn_cosine", "match_list_text"])
+def test_searches_equal_sql(spark, tmp_path, name):
+    _same_as_sql(spark, tmp_path, name, embeddings=pq.read_table(f"{SF}/embeddings.parquet"))
