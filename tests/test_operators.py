@@ -226,3 +226,66 @@ def test_nearest_by_distance_with_copies_and_ties(spark, block):
 @pytest.mark.parametrize("name", ["nearest_euclidean", "knn_cosine", "match_list_text"])
 def test_searches_equal_sql(spark, tmp_path, name):
     _same_as_sql(spark, tmp_path, name, embeddings=pq.read_table(f"{SF}/embeddings.parquet"))
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_nearest_by_counts_equal_all_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(match, "COUNTED", 4)
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.choice("abc") for _ in range(rng.randint(0, 9))]) for i in range(40)], "id bigint, words array<string>")
+    test, train = df.where("id % 3 = 0").withColumnRenamed("id", "tst_id"), df.withColumnRenamed("id", "trn_id")
+    want = match.top(match.fuzzy_counts(test, train, 2, 3).where("tst_id <> trn_id"), "score", 3)
+    got = match.nearest_by_counts(test, train, 3, 2, 3, block)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_matches_of_queries_equal_sql(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "flat_matches", conversations=_talk(*[(10 * k, " ".join(f"w{(k * j) % 7}" for j in range(9)), f"t {k}") for k in range(12)]))
+
+
+def test_links_of_slices_and_nulls_equal_those_of_rows():
+    rng = random.Random(2)
+    rows_ = [None if rng.random() < 0.1 else [[rng.choice(["a", "A", "b", "ß", "ẞ", "C"]) for _ in range(rng.randint(0, 5))] for _ in range(2)] for _ in range(200)]
+    a, b = (pa.array([r and r[k] for r in rows_], pa.list_(pa.string())).slice(7) for k in (0, 1))
+    got = K.equal_links(a, b).to_pylist()
+    assert got == [r and [{"s": i, "t": j} for i, x in enumerate(r[0]) for j, y in enumerate(r[1]) if x.lower() == y.lower()] for r in rows_[7:]]
+
+
+def test_a_batch_is_converted_a_few_rows_at_a_time(spark, monkeypatch):
+    seen = []
+    whole = pa.Array.to_pylist
+    f = K.arrow(lambda x: [v + 1 for v in x], "array<int>")
+    assert [r.y for r in spark.createDataFrame([([1, 2],), (None,), ([],)], "x array<int>").select(f("x").alias("y")).collect()] == [[2, 3], None, []]
+    monkeypatch.setattr(F, "arrow_udf", lambda run, _: lambda column: run(column))
+    assert K.arrow(lambda x: seen.append(x) or x, "int")(pa.array(range(1000))).to_pylist() == list(range(1000)) and whole(pa.array(seen)) == list(range(1000))
+    assert K.AT_A_TIME <= 256
+
+
+def test_html_of_a_batch_comes_in_portions(spark, monkeypatch):
+    from linguaspan.operators import render
+
+    monkeypatch.setattr(render, "PORTION", 300)
+    df = align.equal_links(spark.createDataFrame([(i, ["a", "b"] * (i % 4), ["b", "c"]) for i in range(30)], "pair_id bigint, src array<string>, tgt array<string>"))
+    got = {r.pair_id: (r.html, r.matrix) for r in render.link_matrix(render.link_lines(df, keep=True)).collect()}
+    assert len(got) == 30 and all(m.count("<tr>") == 1 + 2 * (i % 4) and m.count("■") == i % 4 and h.count("<line") == i % 4 for i, (h, m) in got.items())
+
+
+def test_negatives_of_numbered_rows(spark, monkeypatch):
+    from linguaspan.operators import embed
+
+    monkeypatch.setattr(stats, "SHARD_WORDS", 20)
+    monkeypatch.setattr(embed, "PLACES", 7)
+    texts = {i: [f"w{(i * j) % 9}" for j in range(i)] for i in range(12)} | {50: None}
+    lines_ = spark.createDataFrame(list(texts.items()), "id bigint, words array<string>")
+    vocab = stats.vocabulary(lines_, 2)
+    number = {r.word: r.idx for r in vocab.collect()}
+    ids = {i: [number.get(w, 0) for w in ws] for i, ws in texts.items() if ws}
+    got_rows = stats.encoded_rows(lines_, vocab, "id")
+    assert {r.id: r.words for r in got_rows.collect()} == ids
+    want = {(r.id, r.pos, r.centre, tuple(r.context)) for r in embed.context_windows(spark.createDataFrame(list(ids.items()), "id bigint, words array<int>"), "id").collect()}
+    for size in (len(number), 40):
+        got = embed.negatives(got_rows, size, 3).collect()
+        assert {(r.id, r.pos, r.centre, tuple(r.context)) for r in got} == want and len(got) == len(want)
+        for r in got:
+            free = set(range(1, size)) - {r.centre, *r.context}
+            assert len(r.negatives) == (3 if free else 0) and set(r.negatives) <= free
