@@ -32,7 +32,7 @@ PORTION = 1 << 22  # characters of HTML that are held at a time
 def link_matrix(pairs: DataFrame) -> DataFrame:
     """(pair_id, matrix), and html where pairs have that: a table with a row for each source word and a mark for each link."""
     ship(pairs.sparkSession)
-    kept = [c for c in ("pair_id", "html") if c in pairs.columns]
+    kept, portion = [c for c in ("pair_id", "html") if c in pairs.columns], PORTION
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +41,7 @@ def link_matrix(pairs: DataFrame) -> DataFrame:
                 row = [batch.column(c)[i].as_py() for c in ("src", "tgt", "links")]
                 made.append(None if None in row else K.link_table(*row))
                 size += len(made[-1] or "")
-                if size >= PORTION or i == batch.num_rows - 1:
+                if size >= portion or i == batch.num_rows - 1:
                     yield pa.record_batch([*own.slice(at, len(made)).columns, pa.array(made, pa.string())], names=[*kept, "matrix"])
                     at, made, size = i + 1, [], 0
 

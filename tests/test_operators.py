@@ -289,3 +289,21 @@ def test_negatives_of_numbered_rows(spark, monkeypatch):
         for r in got:
             free = set(range(1, size)) - {r.centre, *r.context}
             assert len(r.negatives) == (3 if free else 0) and set(r.negatives) <= free
+
+
+@pytest.mark.parametrize("name", ["phrase_pairs", "phrase_table"])
+def test_phrases_that_sentences_share_equal_sql(spark, tmp_path, name):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdeABxyz") for _ in range(rng.randint(1, 7)))
+    turns = [(i, text(), text()) for i in range(40)]
+    _same_as_sql(spark, tmp_path, name, conversations=_talk(*turns, *[(100 + i, s, t) for i, s, t in turns[:10]]))
+
+
+def test_boxes_give_each_phrase_once_in_portions():
+    rng = random.Random(4)
+    for _ in range(100):
+        n, m = rng.randint(1, 7), rng.randint(1, 7)
+        boxes = K.phrase_boxes(n, m, [(rng.randrange(n), rng.randrange(m)) for _ in range(rng.randint(0, 6))], 3)
+        parts = list(K.unboxed(boxes, 5))
+        got = [tuple(p) for part in parts for p in part.T.tolist()]
+        assert all(part.shape[1] <= 5 for part in parts) and len(set(got)) == len(got) == sum(np.prod([b - a + 1 for a, b in zip(x[::2], x[1::2])]) for x in boxes)
