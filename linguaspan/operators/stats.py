@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..runtime import ship
+from ..runtime import cut, ship
 
 
 def corpus_stats(lines: DataFrame, *keys: str) -> DataFrame:
@@ -113,7 +113,7 @@ def oov_rate(encoded: DataFrame) -> DataFrame:
 
 def domain_tfidf(lines: DataFrame, tag: str, most: int = 0, form: str = "ratio", digits: int = 6) -> DataFrame:
     """(tag, word, tfidf), each tag's vector of length 1. A word's idf is ln(D / N), N the number of tags with it; form `product` is ln(D * N)."""
-    freq = word_freq(lines, tag)
+    freq = cut(word_freq(lines, tag))  # read by several steps
     if most:
         top = freq.groupBy("word").agg(F.sum("freq").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
         freq = freq.join(top.select("word"), "word", "left_semi")
@@ -128,7 +128,8 @@ def domain_tfidf(lines: DataFrame, tag: str, most: int = 0, form: str = "ratio",
 
 
 def domain_similarity(model: DataFrame, test: DataFrame, tag: str, id_column: str) -> DataFrame:
-    """(id, tag, cosine, rank) of each test text's counts with each tag's vector. A text without a known word has cosine 0 with all."""
+    """(id, tag, cosine, rank) of each test text's counts with each tag's vector. A text without a known word has cosine 0 with all. The model is made once, for three steps."""
+    model = cut(model)
     counts = test.select(id_column, F.explode("words").alias("word")).groupBy(id_column, "word").agg(F.count("*").alias("tf")).join(model.select("word").distinct(), "word", "left_semi")
     norm = counts.groupBy(id_column).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     sums = counts.join(model, "word").groupBy(id_column, tag).agg(F.sum(F.col("tf") * F.col("tfidf")).alias("dot"))

@@ -307,3 +307,8 @@ def test_boxes_give_each_phrase_once_in_portions():
         parts = list(K.unboxed(boxes, 5))
         got = [tuple(p) for part in parts for p in part.T.tolist()]
         assert all(part.shape[1] <= 5 for part in parts) and len(set(got)) == len(got) == sum(np.prod([b - a + 1 for a, b in zip(x[::2], x[1::2])]) for x in boxes)
+
+
+def test_similarity_reads_the_documents_once(spark):
+    files = catalogue.QUERIES["domain_similarity"](spark, SF).inputFiles()  # what is left to read
+    assert any("benchmark" in f for f in files) and not any("documents" in f for f in files)
