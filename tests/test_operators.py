@@ -212,6 +212,11 @@ def test_tags_of_scores_that_round_to_minus_zero(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(4), pa.int64()), "embedding": pa.array(e, pa.list_(pa.float32())), "label": pa.array([0] * 4, pa.int32())}))
 
 
+def test_tags_of_scores_that_are_minus_zero(spark, tmp_path):
+    e = [[-0.0], [0.0], [-1e-10], [float("nan")], [float("-inf")], [], None]
+    _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(7), pa.int64()), "embedding": pa.array(e, pa.list_(pa.float32())), "label": pa.array([0] * 7, pa.int32())}))
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_nearest_by_distance_with_copies_and_ties(spark, block):
     rng = np.random.default_rng(3)
