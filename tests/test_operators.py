@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from linguaspan.functions import grams as G
 from linguaspan.functions import kernels as K
+from linguaspan.functions import merges as M
 from linguaspan.functions import text as X
-from linguaspan.operators import align, augment, clean, evaluate, match, stats
+from linguaspan.operators import align, augment, clean, embed, evaluate, match, stats
 from linguaspan.plans import catalogue
 from linguaspan.sources import lines as L
 
@@ -153,6 +154,62 @@ def test_merges_are_learnt_from_the_documents(spark):
     assert (got.left[0] + got.right[0], got.n[0]) == (first.p, first["count"])
 
 
+def _counted_anew(words, symbols, least=1):
+    """Merges of {word: frequency}, by counting all pairs again for each."""
+    parts, out = {w: list(w) for w in words}, []
+    while len(out) < symbols:
+        n = {}
+        for w, p in parts.items():
+            for x in zip(p, p[1:]):
+                n[x] = n.get(x, 0) + words[w]
+        if not n or (best := min(n.items(), key=lambda x: (-x[1], x[0])))[1] < least:
+            break
+        out.append((*best[0], best[1]))
+        for w, p in parts.items():
+            i, new = 0, []
+            while i < len(p):
+                two = tuple(p[i : i + 2]) == best[0]
+                new.append("".join(p[i : i + 1 + two]))
+                i += 1 + two
+            parts[w] = new
+    return out
+
+
+@pytest.mark.parametrize("fall, block, symbols, least", [(2, 50, 400, 1), (4, 1 << 22, 60, 1), (3, 200, 400, 7), (2, 50, 0, 1)])
+def test_merges_of_rounds_equal_counting_anew(spark, monkeypatch, fall, block, symbols, least):
+    monkeypatch.setattr(embed, "FALL", fall)
+    monkeypatch.setattr(embed, "BLOCK", block)
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aaabcd😀\0") for _ in range(rng.randint(1, 10))): rng.randint(1, 9) for _ in range(150)} | {"aaaaa": 70, "ababab": 30, "aaaaaaaa": 3}
+    rows = spark.createDataFrame([*words.items(), (None, 5), ("", 9)], "word string, freq bigint")
+    got = sorted(embed.learn_merges(rows, symbols, least).collect())
+    want = _counted_anew(words, symbols, least)
+    assert [tuple(r)[1:] for r in got] == want and [r.rank for r in got] == list(range(len(want))) and bool(want) == bool(symbols)
+    assert list(M.byte_pairs(words.items(), symbols, least)) == want
+
+
+def test_merges_of_no_words(spark):
+    assert embed.learn_merges(spark.createDataFrame([("a", 3), (None, 1)], "word string, freq bigint")).collect() == []
+
+
+def test_one_task_has_few_parts_of_many_words():
+    rng = random.Random(6)
+    words = {"".join(rng.choice(["the", "ing", "q", "x", "é", "!", "7", "zu"]) for _ in range(8)) for _ in range(3000)}
+    texts = M.numbered("".join(words), np.array([len(w) for w in words]))
+    freqs = np.ones(len(words), np.int64)
+    pair, n = M.pair_counts(texts, freqs)
+    least = int(n.max()) // 2
+    flat, sizes, times = M.chains(texts, freqs, pair[n >= least])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    parts = {}
+    for a, b, k in zip(ends, ends[1:], times):
+        key = flat[a:b].tobytes()
+        parts[key] = parts.get(key, 0) + int(k)
+    few = np.concatenate([[0], *(x for p in parts for x in (np.frombuffer(p, np.int32), [0]))]).astype(np.int32)
+    of_all, of_parts = (list(M.learnt(w, f, 400, least, [])) for w, f in ((texts.copy(), freqs), (few, np.array([*parts.values()], np.int64))))
+    assert of_all == of_parts and len(of_all) > 3 and 20 * len(few) < len(texts)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_negatives_come_from_the_whole_vocabulary(spark):
     size = catalogue.QUERIES["vocab_build"](spark, SF).count()
