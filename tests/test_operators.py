@@ -274,6 +274,14 @@ def test_tags_of_scores_that_are_minus_zero(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(7), pa.int64()), "embedding": pa.array(e, pa.list_(pa.float32())), "label": pa.array([0] * 7, pa.int32())}))
 
 
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_tags_of_scores_round_as_their_sql(spark, tmp_path, kind):
+    """Ties of doubles, and scores so large that rounding moves them."""
+    x = np.concatenate([(np.arange(-4000, 4001) + 0.5) / 30000, np.arange(-64, 65) / 32, np.arange(-50, 51) * 3.1e11 / 7, [1e38, -1e38, np.inf, -np.inf, np.nan, -0.0]])
+    e = [[v] for v in x.tolist()] + [[1e300 if kind == pa.float64() else 1e30], [None], [], None]
+    _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(len(e)), pa.int64()), "embedding": pa.array(e, pa.list_(kind)), "label": pa.array([0] * len(e), pa.int32())}))
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_nearest_by_distance_with_copies_and_ties(spark, block):
     rng = np.random.default_rng(3)
