@@ -282,6 +282,22 @@ def test_tags_of_scores_round_as_their_sql(spark, tmp_path, kind):
     _same_as_sql(spark, tmp_path, "score_tags", embeddings=pa.table({"vec_id": pa.array(range(len(e)), pa.int64()), "embedding": pa.array(e, pa.list_(kind)), "label": pa.array([0] * len(e), pa.int32())}))
 
 
+def test_shares_at_ties_round_as_their_sql(spark, tmp_path):
+    """41 of 640 is a tie at six digits; its double, moved by six, is less than one."""
+    _same_as_sql(spark, tmp_path, "shared_word_ratio", conversations=_talk((1, "a " * 41 + "b " * 599, "a")))
+
+
+def test_ratios_of_counts_at_ties_round_as_their_sql(spark):
+    sql = lambda n, of, digits: duckdb.execute(f"select round(n / of, {digits}) from (select ?::bigint as n, ?::bigint as of)", [n, of]).fetchone()[0]
+    sides = spark.createDataFrame([(1, ["a"] * 41 + ["b"] * 599, ["a"] * 41 + ["c"] * 599)], "pair_id bigint, src array<string>, tgt array<string>")
+    row = align.lcs_pairs(sides).first()
+    assert (row.length, row.ratio) == (41, sql(82, 1280, 6))
+    assert align.masked(sides).first().ratio == sql(82, 1280, 6)
+    pair = [(["a"] * 41, ["b"] * 6400, [(i, i) for i in range(41)])]
+    table = align.lexical(spark.createDataFrame(pair, "src array<string>, tgt array<string>, links array<struct<s:int,t:int>>")).where("s = 'a'").first()
+    assert (table.n, table.s2t, table.t2s) == (41, sql(41, 6400, 7), 1.0)
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_nearest_by_distance_with_copies_and_ties(spark, block):
     rng = np.random.default_rng(3)
